@@ -71,3 +71,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get batches of so many rows and 32 MB at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))

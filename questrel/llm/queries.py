@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, syncmers, warc
 
 QUERIES = {
+    "op4_warc_from_arc": warc.op4_warc_from_arc,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
+    "op8_closed_syncmers": syncmers.op8_closed_syncmers,
 }
 
 SQL = {
