@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 K, S, KEEP = 16, 9, 64  # bytes in a k-mer and in its inner substrings; anchors in a fingerprint
-CHUNK = 16384  # bytes worked on at once
+CHUNK = 4096  # bytes worked on at once
 ROWS, PARTS = 512, 128  # documents in a range at least; at most PARTS * PARTS ranges
 
 
@@ -26,15 +26,15 @@ def _chunk(data: Column, start: Column) -> Column:
     width = K - S + 1
     assert width == 8
 
-    def least(h: Column, step: int) -> Column:  # at the end null stands in, which least() passes over
-        return F.zip_with(h, F.slice(h, F.lit(step + 1), F.greatest(F.size(h) - step, F.lit(0))), lambda x, y: F.least(x, y))
+    def least(h: Column, step: int, then) -> Column:  # at the end null stands in, which least() passes over
+        return _let(F.transform(h, lambda x, i: F.least(x, F.get(h, i + step))), then)
 
-    def anchors(h: Column) -> Column:
-        def picked(m: Column) -> Column:
-            edge = F.filter(F.sequence(F.lit(0), F.length(data) - K), lambda i: (F.get(h, i) == F.get(m, i)) | (F.get(h, i + (width - 1)) == F.get(m, i)))
-            return F.transform(edge, lambda i: F.shiftleft(_low31(F.substring(data, i + 1, F.lit(K))), 32).bitwiseOR((start + i).cast("long")))
+    def picked(h: Column, m: Column) -> Column:
+        edge = F.filter(F.sequence(F.lit(0), F.length(data) - K), lambda i: F.get(m, i).isin(F.get(h, i), F.get(h, i + (width - 1))))
+        return F.transform(edge, lambda i: F.shiftleft(_low31(F.substring(data, i + 1, F.lit(K))), 32).bitwiseOR((start + i).cast("long")))
 
-        return _let(least(least(least(h, 1), 2), 4), picked)
+    def anchors(h: Column) -> Column:
+        return least(h, 1, lambda two: least(two, 2, lambda four: least(four, 4, lambda eight: picked(h, eight))))
 
     hashes = F.transform(F.sequence(F.lit(1), F.length(data) - (S - 1)), lambda i: F.xxhash64(F.substring(data, i, F.lit(S))))
     return F.when(F.length(data) >= K, _let(hashes, anchors)).otherwise(F.array().cast("array<bigint>"))
@@ -46,8 +46,12 @@ def anchors(data: Column) -> Column:
     Whether a k-mer is one depends on its own bytes only. Data shorter than K are their own
     k-mer; empty data have none.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.length(data) - K, F.lit(0)), F.lit(CHUNK))
-    every = F.flatten(F.transform(starts, lambda at: _let(F.substring(data, at + 1, F.lit(CHUNK + K - 1)), lambda part: _chunk(part, at))))
+
+    def searched(held: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(held) - K, F.lit(0)), F.lit(CHUNK))
+        return F.flatten(F.transform(starts, lambda at: _let(F.substring(held, at + 1, F.lit(CHUNK + K - 1)), lambda part: _chunk(part, at))))
+
+    every = _let(data, searched)
     whole = F.array(F.shiftleft(_low31(data), 32))
     return F.when(F.length(data) >= K, every).when(F.length(data) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
