@@ -166,6 +166,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     best = d.groupBy("sha").agg(F.max("row").alias("refers"), F.max_by("url", "row").alias("refers_url"))
     single = (F.octet_length("payload") < least) | F.col("row").eqNullSafe(F.col("refers"))
     d = d.join(best, "sha").select("row", "url", "payload", "refers", "refers_url", single.alias("first"))
+    d = d.coalesce(8 * pages.sparkSession.sparkContext.defaultParallelism)  # a file each, at least
     d.mapInArrow(_to_warc, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
