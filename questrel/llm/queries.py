@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, syncmers, warc
+from . import mixing, quality, sentences, syncmers, toxicity, warc
 
 QUERIES = {
+    "op10_sentence_spans": sentences.op10_sentence_spans,
     "op4_warc_from_arc": warc.op4_warc_from_arc,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
+    "op7_subword_toxicity": toxicity.op7_subword_toxicity,
     "op8_closed_syncmers": syncmers.op8_closed_syncmers,
+    "op9_ordinal_quality": quality.op9_ordinal_quality,
 }
 
 SQL = {

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_batches, table
 
@@ -162,12 +163,11 @@ def score(docs: DataFrame, model) -> DataFrame:
     """docs with column _score (0 to 1, higher: toxic likelier), from whole texts only.
 
     A document scores as its most toxic window. Null and empty texts, and texts without words, score
-    near 0. Other columns stay; equal texts score alike; an empty table stays empty.
+    near 0. Other columns stay, but for a _score; equal texts score alike; an empty table stays empty.
     """
     bounded_batches(docs.sparkSession)
-    schema = docs.schema.add("_score", "double") if "_score" not in docs.columns else docs.schema
-    clean = docs.drop("_score")
-    return clean.mapInArrow(partial(_score, model), type(schema)([f for f in schema.fields if f.name != "_score"]).add("_score", "double"))
+    d = docs.drop("_score")
+    return d.mapInArrow(partial(_score, model), StructType(list(d.schema.fields)).add("_score", "double"))
 
 
 def op7_subword_toxicity(spark, sf_dir: str) -> DataFrame:
