@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sentences, syncmers, toxicity, warc
+from . import embeddings, mixing, quality, sentences, syncmers, toxicity, warc
 
 QUERIES = {
     "op10_sentence_spans": sentences.op10_sentence_spans,
+    "op3_cross_polytope": embeddings.op3_cross_polytope,
     "op4_warc_from_arc": warc.op4_warc_from_arc,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_subword_toxicity": toxicity.op7_subword_toxicity,
