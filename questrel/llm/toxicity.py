@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql.types import StructType
 from .common import bounded_batches, table
 
 BUCKETS, DIM, SPAN = 1 << 17, 8, 6  # hashed n-grams, their vectors' length, words in a window
-SAMPLE, SAMPLE_BYTES = 4000, 24 << 20  # labelled documents of a class, and bytes of all, that fit the model
+SAMPLE, SAMPLE_BYTES = 4000, 16 << 20  # labelled documents of a class, and bytes of all, that fit the model
 ROUNDS, EPOCHS, RATE = 5, 20, 0.4
 WORDS = re.compile(r"\w+")
 CACHED = 400_000  # words whose score a worker keeps
@@ -33,9 +34,12 @@ class _Words:
     def __init__(self, texts: list[str]):
         seen: dict[str, int] = {}
         self.docs = [np.array([seen.setdefault(w, len(seen)) for w in WORDS.findall(t.lower())], np.int32) for t in texts]
-        rows = [grams(w) for w in seen]
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.flat = np.fromiter((g for r in rows for g in r), np.int32, int(self.sizes.sum()))
+        flat, sizes = array("i"), array("q")
+        for w in seen:
+            row = grams(w)
+            flat.extend(row)
+            sizes.append(len(row))
+        self.sizes, self.flat = np.array(sizes, np.int64), np.array(flat, np.int32)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
 
     def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,8 +48,9 @@ class _Words:
         return self.flat[at], sizes
 
 
-def _sums(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, rows[:, j], n) for j in range(rows.shape[1])], 1)
+def _sums(rows: np.ndarray, at: np.ndarray, n: int, owner: np.ndarray | None = None) -> np.ndarray:
+    """Sums of rows (or of rows[owner]) by at, a column at a time to hold little."""
+    return np.stack([np.bincount(at, rows[:, j] if owner is None else rows[:, j][owner], n) for j in range(rows.shape[1])], 1)
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -75,15 +80,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray,
         goal = told[full]
         weight = np.where(goal > 0, 0.5 / max(1, goal.sum()), 0.5 / max(1, (1 - goal).sum()))
         for _ in range(EPOCHS):
-            word = np.add.reduceat(emb[gram].astype(np.float32)[slot], first, 0) / n_grams[:, None]
-            vec = _sums(word[at], owner, len(full)) / sizes[:, None]
+            word = np.stack([np.add.reduceat(emb[gram, j][slot], first) for j in range(DIM)], 1) / n_grams[:, None]
+            vec = _sums(word, owner, len(full), at) / sizes[:, None]
             z = vec @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             dz = (p - np.stack([1 - goal, goal], 1)) * weight[:, None]
             dvec = dz @ out.T
-            dword = _sums((dvec / sizes[:, None])[owner], at, len(used))
-            dgram = _sums((dword / n_grams[:, None])[of], slot, len(gram))
+            dword = _sums(dvec / sizes[:, None], at, len(used), owner)
+            dgram = _sums(dword / n_grams[:, None], slot, len(gram), of)
             for k, (x, where, grad) in enumerate(((emb, gram, dgram), (out, slice(None), vec.T @ dz + 1e-4 * out), (bias, slice(None), dz.sum(0)))):
                 m[k][where] += grad * grad
                 x[where] -= RATE * (4 if k == 0 else 1) * grad / np.sqrt(m[k][where])
