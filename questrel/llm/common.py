@@ -39,11 +39,19 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SALTS = 16
+
+
+def _salted_join(edges: DataFrame, of: DataFrame, key: str, other: str) -> DataFrame:
+    salted = of.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of the edges (a, b); component is the smallest node reachable.
 
-    Alternates the large-star and small-star steps; each step is an aggregate and a join, so a node
-    with a third of all edges is split like any skewed join key. Each round is written to the shared
+    Alternates the large-star and small-star steps; each step is an aggregate and a join on salted
+    keys, so a node with a third of all edges is dealt out over SALTS tasks. Each round is written to the shared
     folder. An empty table of edges gives an empty result; nulls and loops are ignored.
     """
     spark = edges.sparkSession
@@ -53,10 +61,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: each larger neighbour of a node links to the node's smallest neighbour or itself
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a and b != m").select(F.col("m").alias("a"), "b").distinct()
+        large = _salted_join(both, least, "a", "b").where("b > a and b != m").select(F.col("m").alias("a"), "b").distinct()
         # small star: a node and its smaller neighbours link to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
+        small = _salted_join(large, least, "b", "a").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x < y")
         new = saved(small.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(spark, now)

@@ -97,6 +97,7 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     rows = saved(docs.where("text is not null").select(*key, "text").mapInArrow(_emit, "h0 long, h1 long, did long, th long, at int, n int"), "spans")
     place = F.struct("did", "at", "th")
     first = rows.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h0", "h1", "first")
+    first = saved(first, "firsts")  # else the join would take the aggregate's partitions, which can't be split
     hits = rows.join(first, ["h0", "h1"]).where(place != F.col("first"))
     hits = hits.groupBy("did", "th").agg(F.collect_set(F.struct("at", "n")).alias("_hit"))
     d = docs.withColumns({"_did": key[0], "_th": key[1]}).join(hits, (F.col("_did") == F.col("did")) & (F.col("_th") == F.col("th")), "left").drop("_did", "_th", "did", "th")
