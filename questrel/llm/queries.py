@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embeddings, mixing, quality, sentences, syncmers, toxicity, warc
+from . import embeddings, minhash, mixing, quality, sentences, syncmers, toxicity, warc
 
 QUERIES = {
+    "op1_order_minhash": minhash.op1_order_minhash,
     "op10_sentence_spans": sentences.op10_sentence_spans,
     "op3_cross_polytope": embeddings.op3_cross_polytope,
     "op4_warc_from_arc": warc.op4_warc_from_arc,
