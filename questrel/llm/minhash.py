@@ -16,6 +16,8 @@ from .common import bounded_batches, components, drop, saved
 SHINGLE, LIKE = 5, 0.8
 BANDS, ROWS, LEAST = 24, 2, 2  # sketches in a band; minima in a sketch
 CACHED = 400_000
+QUERIES, MEMBERS = 512, 2048  # documents of a bucket that meet at once
+MEETING = "array<struct<query:boolean,x:int,y:int>>"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -143,6 +145,55 @@ def _verify(least, batches):
         yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
 
+def _meet(least, batches):
+    """Blocks (sorted by place) of queries and members of one bucket. A query meets all members at once over
+    an inverted index of their labelled shingles; what shares enough is aligned. Yields a link for each
+    query and other class at most."""
+    held: list = []
+    place = None
+    out: list = []
+
+    def done():
+        queries = [r for r in held if r[0]]
+        members = [r for r in held if not r[0]]
+        if not queries or not members:
+            return
+        data = [np.frombuffer(r[3], np.uint32) for r in members]
+        sizes = np.array([len(x) for x in data])
+        flat = np.concatenate(data)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(data)), sizes)[order]
+        of = np.array([r[2] for r in members])
+        for _, rep, own, raw in queries:
+            x = np.frombuffer(raw, np.uint32)
+            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+            n = hi - lo
+            at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            both = np.bincount(owner[at], minlength=len(data))
+            seen = set()
+            for k in np.flatnonzero((both >= least * (len(x) + sizes) / (1 + least) - 1e-9) & (of != own)).tolist():
+                if of[k] not in seen and alike(x, data[k], least):
+                    seen.add(of[k])
+                    out.append((rep, members[k][1]))
+
+    def flush():
+        rows = [(min(a, b), max(a, b)) for a, b in out]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for b in batches:
+        for *key, query, rep, c, data in zip(*(b.column(x).to_pylist() for x in ("band", "h", "x", "y", "query", "rep", "c", "data")), strict=True):
+            if key != place:
+                done()
+                held, place = [], key
+            held.append((query, rep, c, data))
+        if out:
+            yield flush()
+    done()
+    if out:
+        yield flush()
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     k0, k1 = F.xxhash64("text", F.lit(1)), F.xxhash64("text", F.lit(2))
     did = F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(k0, 2))
@@ -159,7 +210,8 @@ def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
 
     Equal texts become one by an aggregate first. Then each bucket (band and hash) links its members to its
     least member, so a bucket with a third of all rows makes as many candidates as it has members. What a
-    bucket still holds in different classes after that is compared pair by pair, so no candidate is lost.
+    bucket still holds outside its least member's class meets all of the bucket, in blocks that compare
+    many at once and yield links between classes only; so no candidate is lost, and no pairs are listed.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -171,25 +223,28 @@ def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
     shared = saved(buckets.join(saved(center, "centers"), ["band", "h"]), "shared")  # a join of two tables can split a hot key
     drop(spark, buckets)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        wanted = reps.join(ids, "rep", "left_semi").select("k0", "k1", "rep")
-        texts = _rows(docs).withColumnRenamed("k0", "t0").withColumnRenamed("k1", "t1")
-        data = texts.join(wanted, (F.col("did") == F.col("rep")) & (F.col("t0") == F.col("k0")) & (F.col("t1") == F.col("k1"))).select("rep", "text").dropDuplicates(["rep"])
-        data = saved(data.mapInArrow(_labelled, "rep long, data binary"), "labelled")
-        left, right = (data.select(F.col("rep").alias(x), F.col("data").alias(f"d{x}")) for x in "ab")
-        return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(partial(_verify, least), "a long, b long"), "links")
-
-    links = verified(shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct())
+    wanted = reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("k0", "k1", F.col("rep").alias("did"))
+    texts = _rows(docs).join(wanted, ["did", "k0", "k1"]).select(F.col("did").alias("rep"), "text")
+    data = saved(texts.mapInArrow(_labelled, "rep long, data binary").dropDuplicates(["rep"]), "labelled")
+    left, right = (data.select(F.col("rep").alias(x), F.col("data").alias(f"d{x}")) for x in "ab")
+    pairs = saved(shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(partial(_verify, least), "a long, b long"), "links")
     joined = components(links)
-    of = shared.join(joined, shared.rep == joined.node, "left").select("band", "h", "rep", "n", F.coalesce("component", "rep").alias("c"))
+
+    place = ["band", "h"]
+    of = shared.join(joined, shared.rep == joined.node, "left").select(*place, "rep", F.coalesce("component", "rep").alias("c"))
     of = saved(of, "classed")
-    mixed = of.groupBy("band", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("band", "h")
-    mixed = saved(of.join(saved(mixed, "mixed"), ["band", "h"]), "mixed")
-    x, y = (mixed.select("band", "h", F.col("rep").alias(r), F.col("n").alias(f"n{r}"), F.col("c").alias(f"c{r}")) for r in "ab")
-    rest = x.join(y, ["band", "h"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb")))
-    more = verified(rest.select("a", "b").distinct().join(shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), ["a", "b"], "left_anti"))
+    main = of.groupBy(*place).agg(F.min_by("c", "rep").alias("main"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1")
+    of = of.join(saved(main.select(*place, "main", "n"), "mains"), place).withColumn("other", F.col("c") != F.col("main"))
+    of = saved(of, "mixed")
+    others = saved(of.where("other").groupBy(*place).agg(F.count("*").alias("others")), "others")
+    of = of.join(others, place).withColumn("xs", F.ceil(F.col("others") / QUERIES).cast("int")).withColumn("ys", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    part = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(n)).cast("int")
+    member = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(F.lit(False).alias("query"), x.alias("x"), part("ys").alias("y")))
+    query = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: F.struct(F.lit(True).alias("query"), part("xs").alias("x"), y.alias("y")))
+    sent = of.withColumn("to", F.explode(F.concat(member, F.when(F.col("other"), query).otherwise(F.array().cast(MEETING))))).select(*place, "to.*", "rep", "c")
+    sent = sent.join(data, "rep").repartition(*place, "x", "y").sortWithinPartitions(*place, "x", "y")
+    more = saved(sent.mapInArrow(partial(_meet, least), "a long, b long"), "links")
     joined = components(links.union(more)) if not more.isEmpty() else joined
     known = reps.join(joined, reps.rep == joined.node, "left").select("k0", "k1", F.coalesce("component", "rep").alias("class_id"))
     rows = light.groupBy("did", "k0", "k1", "n").agg(F.count("*").alias("rows"))
