@@ -82,3 +82,31 @@ def test_assigner_stream_equals_fold(spark, tmp_path):
     for w in range(5):
         s.grant(w, 50)
     assert sorted(map(tuple, got)) == sorted(assign(s, iter([(i, str(i)) for i in range(60)]), 3))
+
+
+def test_worker_states(spark, tmp_path):
+    from questrel.streaming import workers as w
+
+    e = [(1, 0, 10, "open", None, None, None, None, None)]
+    e += [(1, 1 + i, 11, "assign", None, 128 + i, f"item_{i}", 71 + i, None) for i in range(5)]
+    e += [(1, 10, 20, "ack", None, 128, None, None, 0), (1, 11, 20, "ack", None, 129, None, None, 1), (1, 12, 21, "ack", None, 129, None, None, 0)]
+    e += [(1, 13, 74, "refresh", 1, None, None, None, None), (1, 14, 75, "close", 9, None, None, None, None)]
+    e += [(2, 15, 10, "open", None, None, None, None, None), (2, 16, 10, "assign", None, 5, "x", 999, None), (2, 17, 311, "open", None, None, None, None, None)]
+    last = [(1, 20, 75, "close", 1, None, None, None, None)]
+    src = f"file://{tmp_path}/in"
+    for part in (e, last):
+        spark.createDataFrame(part, w.EVENTS).coalesce(1).write.mode("append").parquet(src)
+        out = w.results(spark.readStream.schema(w.EVENTS).parquet(src), timers=False)
+        out.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(w.OUT).parquet(f"file://{tmp_path}/out").collect()))
+    assert got == [(1, 128, "item_0", 0, 71), (1, 129, "item_1", 1, 72), (1, 130, "item_2", 2, 73), (1, 131, "item_3", 2, 74), (1, 132, "item_4", 2, 75), (2, 5, "x", 2, 999)]
+    s = w.WorkerState(1, {1: 50}, {3: ("a", 40)})
+    assert s.next_time() == 40 and w.WorkerState().next_time() == 0 and w.WorkerState.load(s.dump()) == s
+    assert s.expire(40) == [] and s.expire(51) == [(3, "a", 2, 40)] and s.sessions == {}
+
+
+def test_command_line(capsys):
+    from questrel.__main__ import main
+
+    assert main(["queries"]) == 0 and "nassign_fold" in capsys.readouterr().out
+    assert main([]) == 2
