@@ -14,7 +14,7 @@ from .common import bounded_batches, drop, saved
 LENGTH = 200
 GRAM = 32  # bytes of the anchor that each window is filed under
 CHUNK = 1 << 20  # bytes of a text searched for anchors at once
-BATCH = 2 << 20  # bytes in one transform, about
+BATCH = 384 << 10  # bytes in one transform, about; its arrays then fit the processor's caches
 LARGE = 4096  # distinct pieces of an anchor beyond which its windows are compared by halving
 NONE = (1 << 63) - 1
 
@@ -94,12 +94,13 @@ def _emit(batches):
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first `depth` bytes at least, by doubling; what is past the end is least."""
     n = len(text)
-    key, have = text.astype(np.uint64) + np.uint64(1), 1
-    while have < 4:  # bytes packed into one number
-        key = (key << np.uint64(9 * have)) | np.concatenate([key[have:], np.zeros(min(have, n), np.uint64)])
-        have *= 2
+    have = 7  # bytes packed into one number
+    wide = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(have, np.uint64)])
+    key = np.zeros(n, np.uint64)
+    for j in range(have):
+        key = (key << np.uint64(9)) | wide[j : j + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
         if have >= depth or new[-1] == n - 1:
@@ -130,14 +131,17 @@ def long_neighbours(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
         if not len(low):
             break
         size = high - low
+        alone = back[low[size == 1]]  # one suffix: nothing to sort
+        low, size = low[size > 1], size[size > 1]
         which = np.repeat(np.arange(len(low)), size)
         at = np.arange(size.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
         key = which * 256 + bwt[at]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         ranked = key[by]
         first = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
-        low = back[at[by[first]]]
-        high = low + np.diff(np.concatenate([first, [len(by)]]))
+        low = np.minimum.reduceat(back[at[by]], first) if len(by) else low
+        high = low + np.diff(np.concatenate([first, [len(by)]])) if len(by) else low
+        low, high = np.concatenate([low, alone]), np.concatenate([high, alone + 1])
         fresh = still[high]
         low, high = low[fresh], high[fresh]
         still[high] = False
@@ -206,7 +210,7 @@ def _halves(batches):
 
 def _pieces(batches):
     for b in batches:
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], []]
         for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for w in wanted:
@@ -214,8 +218,13 @@ def _pieces(batches):
                 cols[0].append(w["h"])
                 cols[1].append(w["pd"])
                 cols[2].append(part)
-                cols[3].append(_place(part, w["h"]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], ["h", "pd", "data", "o"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["h", "pd", "data"])
+
+
+def _placed(batches):
+    for b in batches:
+        places = [_place(d, h) for d, h in zip(b.column("data").to_pylist(), b.column("h").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("h"), b.column("pd"), b.column("data"), pa.array(places, pa.int32())], ["h", "pd", "data", "o"])
 
 
 def _place(part: bytes, anchor: int) -> int:
@@ -258,7 +267,8 @@ def _halved(pieces: DataFrame) -> DataFrame:
     have the same bytes there; it is halved if two share what all its windows contain; else nothing in it is
     equal. Both are aggregates, so no group comes together in a task.
     """
-    open_ = pieces.select("h", "pd", "data", "o", F.lit(0).alias("lo"), F.lit(LENGTH + 1).alias("hi"))
+    open_ = pieces.select("h", "pd", "data").mapInArrow(_placed, "h long, pd long, data binary, o int")
+    open_ = open_.select("h", "pd", "data", "o", F.lit(0).alias("lo"), F.lit(LENGTH + 1).alias("hi"))
     settled = None
     for _ in range(LENGTH.bit_length() + 1):
         halves = saved(open_.mapInArrow(_halves, "h long, pd long, data binary, o int, lo int, hi int, w0 int, w1 int, part long, core long"), "halves")
@@ -299,7 +309,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     several = saved(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     meet = saved(kinds.join(several, "h"), "meet")
     wanted = meet.groupBy(F.col("at.did").alias("did"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("h", "pd", F.col("at.s").alias("s"), F.col("at.n").alias("n"))).alias("wanted"))
-    pieces = d.select("did", "th", "text").join(wanted, ["did", "th"]).select("text", "wanted").mapInArrow(_pieces, "h long, pd long, data binary, o int")
+    pieces = d.select("did", "th", "text").join(wanted, ["did", "th"]).select("text", "wanted").mapInArrow(_pieces, "h long, pd long, data binary")
     pieces = saved(pieces.join(several, "h"), "pieces")
     solved = pieces.where(F.col("kinds") <= LARGE).select("h", "pd", "data").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve, "h long, pd long, found array<struct<o:int,n:int>>")
     solved = saved(solved, "solved")
