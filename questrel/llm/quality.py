@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from functools import partial
@@ -96,6 +97,15 @@ def fit(texts: list[str], grades: list[int]) -> dict:
     return {"levels": levels, "w": full, "cuts": np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))}
 
 
+def _fit_rows(batches):
+    """The fit in one task: the sample is bounded, and the driver stays small."""
+    texts, grades = [], []
+    for b in batches:
+        texts += b.column("text").to_pylist()
+        grades += b.column("grade").to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, grades))], pa.binary())], ["model"])
+
+
 def _score(model, batches):
     m = model.value
     levels, w, cuts = np.array(m["levels"], float), m["w"], m["cuts"]
@@ -131,8 +141,10 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", fold: int
     sizes = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.max(F.octet_length("text")).alias("n"))
     run = F.sum("n").over(Window.partitionBy("grade").orderBy(order, "doc_id"))  # SAMPLE rows at most
     ids = sizes.withColumn("run", run).where(F.col("run") <= SAMPLE_BYTES // len(levels)).select("doc_id", "grade")
-    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    return spark.sparkContext.broadcast(fit([r.text for r in rows], [r.grade for r in rows]))
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.max("text").alias("text"))
+    bounded_batches(spark)
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_rows, "model binary").first()
+    return spark.sparkContext.broadcast(pickle.loads(found.model) if found else fit([], []))
 
 
 def score(docs: DataFrame, model) -> DataFrame:

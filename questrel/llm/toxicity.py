@@ -111,6 +111,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray,
     return (emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
+def _fit_rows(batches):
+    """The fit in one task: the sample is bounded, and the driver stays small."""
+    texts, labels = [], []
+    for b in batches:
+        texts += b.column("text").to_pylist()
+        labels += b.column("toxic").to_pylist()
+    weights, bias = fit(texts, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+
 def _best(scores: np.ndarray) -> tuple[float, int]:
     """The highest mean of SPAN scores in a row (all, if they are fewer), and where it starts."""
     n = min(SPAN, len(scores))
@@ -142,7 +152,7 @@ def _score(model, batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int | None = None):
-    """Fit on labelled documents (labels: doc_id, toxic) and broadcast the model, whose size is fixed.
+    """Fit on labelled documents (labels: doc_id, toxic), in one task, and broadcast the model, whose size is fixed.
 
     Fitted on at most SAMPLE documents of each class and SAMPLE_BYTES bytes of text, by order of a hash of
     doc_id. With a fold, only documents count whose crc32(doc_id as text) modulo 5 differs from it. Null
@@ -156,12 +166,15 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = None):
     order = F.xxhash64("doc_id", F.lit(11))
     picked = [d.where(f"toxic = {c}").orderBy(order, "doc_id").limit(SAMPLE) for c in (0, 1)]
     ids = picked[0].union(picked[1])
-    # bytes before texts, so that what comes to the driver is bounded
+    # bytes before texts, so that the sample is bounded
     sizes = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("n"))
     run = F.sum("n").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))  # SAMPLE rows at most
     ids = sizes.withColumn("run", run).where(F.col("run") <= SAMPLE_BYTES // 2).select("doc_id", "toxic")
-    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    return spark.sparkContext.broadcast(fit([r.text for r in rows], [r.toxic for r in rows]))
+    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    bounded_batches(spark)
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_rows, "weights binary, bias double").first()
+    model = (np.frombuffer(bytes(found.weights), np.float32), found.bias) if found else fit([], [])
+    return spark.sparkContext.broadcast(model)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
