@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,10 @@ from .common import bounded_batches, saved
 WINDOW, END = 2048, 1
 K1, B, TERMS = 1.2, 0.75, 24  # BM25's parameters; terms of a seed that are looked up
 SHARD = 1 << 21  # tokens in a shard, about
-CACHED, SHORT = 300_000, 64  # stretches without space whose ids a worker keeps, and their characters at most
-SPACE = re.compile("[\t\n\r]")
+FIRST = 128  # neighbours ranked at first
+CACHED, SHORT = 500_000, 64  # stretches without space whose ids a worker keeps, and their characters at most
+WIDE = r"[^\x{0}-\x{12f}\x{131}-\x{17f}]|<\|"
+POINTS = string.punctuation
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,33 +32,97 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: By a tokenizer's path: the tokenizer, and the ids that this worker knows; they outlast a task.
+_LOADED: dict[str, tuple] = {}
+
+
 def _tokenize(path: str, batches):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _LOADED[path] = (Tokenizer.from_file(path), {"": b""}, {})
+    tok, known, before = _LOADED[path]
+    code = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
+    end, size = array(code, [END]).tobytes(), array(code).itemsize
+    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
+    mark = tok.id_to_token(tok.get_vocab_size() - 1)  # a special token: ends a word, and is kept apart
+    cut = tok.token_to_id(mark)
+    model, letters = tok.model, _Letters()
+
+    def learn(words: set[str]) -> None:
+        """Lower-case Latin words are a matter of the model alone; others go through all of the tokenizer."""
+        rest = []
+        for w in words:
+            if w.isalpha() and w.islower() and max(w) < "\u0180":
+                known[w] = array(code, [t.id for t in model.tokenize(w if w.isascii() else w.translate(letters))]).tobytes()
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 2000):
+            some = rest[i : i + 2000]
+            ids = np.array(encode([mark.join(some)], add_special_tokens=False)[0].ids, code)
+            ends = np.append(np.flatnonzero(ids == cut), len(ids)).tolist()
+            if len(ends) != len(some):
+                raise ValueError("words and ids differ in number")
+            raw = ids.tobytes()
+            known.update((w, raw[x * size : y * size]) for w, x, y in zip(some, [0, *(y + 1 for y in ends)], ends))
 
-    tok = Tokenizer.from_file(path)
-    kind = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
-    end = np.array([END], kind).tobytes()
-    known: dict[str, bytes] = {"": b""}
     for b in batches:
-        out = []
-        for text in b.column("text").to_pylist():
-            # this tokenizer drops white space and no token crosses it, so what stands between spaces is encoded alone
-            parts = SPACE.sub(" ", text or "").split(" ")
-            new = [p for p in set(parts) if p not in known]
-            own = {}
-            if new:
-                if len(known) > CACHED:
-                    known = {"": b""}
-                    new = list(set(parts) - {""})
-                for p, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-                    (known if len(p) <= SHORT else own)[p] = np.array(e.ids, kind).tobytes()
-            if own:
-                out.append(b"".join([known[p] if p in known else own[p] for p in parts]) + end)
-            else:
-                out.append(b"".join(map(known.__getitem__, parts)) + end)
-        size = np.dtype(kind).itemsize
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // size for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
+        # this tokenizer drops white space and no token crosses it, so what stands between spaces is encoded
+        # alone, each different word once; Arrow finds them and numpy puts the ids in their places
+        words = pc.split_pattern(_lowered(pc.fill_null(b.column("text"), "")), " ")
+        coded = words.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        if len(known) > CACHED:  # what isn't used for as long again goes
+            before.clear()
+            before.update(known)
+            known.clear()
+            known[""] = b""
+        found = list(map(known.get, parts))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        known.update((p, x) for p in (parts[i] for i in gaps) if (x := before.get(p)) is not None)
+        new = [p for p in (parts[i] for i in gaps) if p not in known]
+        # nor does one cross from letters to punctuation
+        ends = {p: len(q) for p in new if p[-1] in POINTS and (q := p.rstrip(POINTS)) and q[-1] < "\u0180" and q[-1].isalpha() and q[-1] != "\u0130" and "<|" not in p}
+        plain = {p for p in new if p not in ends}
+        for p, n in ends.items():
+            plain.update(q for q in (p[:n], p[n:]) if q not in known)
+        for p in [p for p in plain if "<|" in p]:
+            plain.discard(p)
+            known[p] = array(code, encode([p], add_special_tokens=False)[0].ids).tobytes()
+        learn(plain)
+        known.update((p, known[p[:n]] + known[p[n:]]) for p, n in ends.items())
+        for i in gaps:
+            found[i] = known[parts[i]]
+        sizes = np.array([len(x) for x in found], np.int64) // size
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], n) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(found), code)[at]
+        ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        for p in {p for p in (*new, *plain) if len(p) > SHORT}:
+            known.pop(p, None)
+        out = [ids[x:y].tobytes() + end for x, y in zip(ends, ends[1:])]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends) + 1), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
+
+
+class _Letters(dict):
+    """For str.translate: letters as the tokenizer writes their bytes."""
+
+    def __missing__(self, c: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self[c] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0]
+        return self[c]
+
+
+def _lowered(texts: pa.Array) -> pa.Array:
+    """White space as spaces; in lower case as the tokenizer makes it itself, where that is a matter of single
+    letters: fewer different words to encode."""
+    for c in "\n\t\r":
+        texts = pc.replace_substring(texts, c, " ")
+    return pc.if_else(pc.match_substring_regex(texts, WIDE), texts, pc.utf8_lower(texts))
 
 
 def _ids(row: bytes, n: int) -> np.ndarray:
@@ -62,10 +130,12 @@ def _ids(row: bytes, n: int) -> np.ndarray:
 
 
 def _frequencies(vocab: int, batches):
-    counts, docs, tokens = np.zeros(vocab, np.int64), 0, 0
+    counts, docs, tokens, last = np.zeros(vocab, np.int64), 0, 0, np.zeros(vocab, np.int64)
     for b in batches:
         for n, row in zip(b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
-            counts[np.unique(_ids(row, n))] += 1
+            ids, at = _ids(row, n), np.arange(n)
+            last[ids] = at
+            counts[ids[last[ids] == at]] += 1  # each id where it comes last
             docs, tokens = docs + 1, tokens + n
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([used, [-1, -2]])), pa.array(np.concatenate([counts[used], [docs, tokens]]))], ["term", "n"])
@@ -123,7 +193,10 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, average: float, window: int =
         if room:
             score = index.scores(seed, len(docs))
             unused = np.flatnonzero(left)
-            ranked = unused[np.argsort(-score[unused], kind="stable")]
+            if len(unused) > 4 * FIRST:  # the best are enough, mostly
+                top = unused[np.argpartition(-score[unused], FIRST)[:FIRST]]
+                unused = top if left[top].sum() >= 2 * room else unused
+            ranked = unused[np.lexsort((unused, -score[unused]))]
             sizes = left[ranked]
             i = 0
             while room and i < len(ranked):  # jumps to the next neighbour that fits
@@ -180,7 +253,7 @@ def _pack(model, batches):
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n (ids, the closing one included), ids (little-endian, 2 bytes each
     if the vocabulary allows, else 4). A null text is empty and has the closing id only."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4000)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_tokenize, path or tokenizer_path()), "doc_id long, n long, ids binary")
 
 
