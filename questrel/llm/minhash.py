@@ -194,10 +194,14 @@ def _meet(least, batches):
         yield flush()
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    k0, k1 = F.xxhash64("text", F.lit(1)), F.xxhash64("text", F.lit(2))
+def _keys() -> list:
+    k0 = F.xxhash64("text", F.lit(1))
     did = F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(k0, 2))
-    return docs.select(did.alias("did"), k0.alias("k0"), k1.alias("k1"), "text")
+    return [did.alias("did"), k0.alias("k0"), F.xxhash64("text", F.lit(2)).alias("k1")]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(*_keys(), "text")
 
 
 def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
@@ -255,14 +259,11 @@ def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
 def dedup(docs: DataFrame, least: float = LIKE) -> DataFrame:
     """docs with one document of each class, that of the least id, in all its columns; of repeated rows one stays."""
     found = classes(docs, least)
-    stay = found.where("did = class_id").select(F.col("did").alias("_did"), F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), "rows")
-    k0 = F.xxhash64("text", F.lit(1))
-    d = docs.withColumns({"_a": F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(k0, 2)), "_b": k0, "_c": F.xxhash64("text", F.lit(2))})
-    d = d.join(stay.withColumnRenamed("rows", "_rows"), (F.col("_a") == F.col("_did")) & (F.col("_b") == F.col("_k0")) & (F.col("_c") == F.col("_k1")))
-    again = not found.where("did = class_id and rows > 1").isEmpty()
-    if again:
-        d = d.where("_rows = 1").unionByName(d.where("_rows > 1").dropDuplicates(["_a", "_b", "_c"]))
-    return d.select(*docs.columns)
+    stay = found.where("did = class_id").select("did", "k0", "k1", "rows")
+    d = docs.select(F.struct(*docs.columns).alias("row"), *_keys()).join(stay, ["did", "k0", "k1"])
+    if not stay.where("rows > 1").isEmpty():
+        d = d.where("rows = 1").unionByName(d.where("rows > 1").dropDuplicates(["did", "k0", "k1"]))
+    return d.select("row.*")
 
 
 def op1_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -96,11 +96,11 @@ def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, seed: str = "")
 def repeat(docs: DataFrame, share: float = 1.0, most: float = 3.0) -> DataFrame:
     """docs with each row as often as mix() takes it. doc_id, source and size together say how often, which
     is the same for all rows that repeat them; documents without words are taken never."""
-    picked = mix(docs, share, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    picked = picked.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").cast("int").alias("_copies"))
+    picked = mix(docs, share, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("copies"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.withColumn("_words", size).join(picked, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("s"), size.alias("n"))
+    d = d.join(picked, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
+    return d.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def _salted(small: DataFrame) -> DataFrame:

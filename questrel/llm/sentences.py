@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_batches, saved
 
@@ -69,14 +70,13 @@ def _emit(batches):
 def _cut(batches):
     for b in batches:
         texts, sizes, gone = [], [], []
-        for text, hit in zip(b.column("text").to_pylist(), b.column("_hit").to_pylist(), strict=True):
+        for text, hit in zip(b.column("text").to_pylist(), b.column("hit").to_pylist(), strict=True):
             parts = SENTENCE.findall(text or "")
             drop = {j for x in hit or () for j in range(x["at"], x["at"] + x["n"])}
             sizes.append(len(parts))
             gone.append(len(drop))
             texts.append("".join(p for j, p in enumerate(parts) if j not in drop) if drop else text)
-        keep = [n for n in b.schema.names if n not in ("text", "_hit")]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], [*keep, "text", "_sentences", "_removed"])
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "_sentences", "_removed"])
 
 
 def dedup_spans(docs: DataFrame) -> DataFrame:
@@ -86,24 +86,24 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
     document repeats stays once in it. Spans are equal if their words are, whatever the space between.
     Rows that repeat both doc_id and text are alike and get the same cuts. Null and empty texts stay as
     they are; a text may become empty, its row stays. Adds _sentences and _removed (long); columns of
-    these names, or _hit, _did, _th, are replaced.
+    these names are replaced.
 
     Spans travel as 128-bit hashes. Firsts are found by an aggregate, which combines before the shuffle;
     a span with a third of all rows meets its one first in a join that splits it.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("_sentences", "_removed", "_hit", "_did", "_th")
+    docs = docs.drop("_sentences", "_removed")
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("did"), F.xxhash64("text").alias("th")]
     rows = saved(docs.where("text is not null").select(*key, "text").mapInArrow(_emit, "h0 long, h1 long, did long, th long, at int, n int"), "spans")
     place = F.struct("did", "at", "th")
     first = rows.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("h0", "h1", "first")
     first = saved(first, "firsts")  # else the join would take the aggregate's partitions, which can't be split
     hits = rows.join(first, ["h0", "h1"]).where(place != F.col("first"))
-    hits = hits.groupBy("did", "th").agg(F.collect_set(F.struct("at", "n")).alias("_hit"))
-    d = docs.withColumns({"_did": key[0], "_th": key[1]}).join(hits, (F.col("_did") == F.col("did")) & (F.col("_th") == F.col("th")), "left").drop("_did", "_th", "did", "th")
-    names = [c for c in docs.columns if c != "text"]
-    schema = type(docs.schema)([f for f in docs.schema.fields if f.name != "text"]).add("text", "string").add("_sentences", "long").add("_removed", "long")
-    return d.select(*names, "text", "_hit").mapInArrow(_cut, schema).select(*docs.columns, "_sentences", "_removed")
+    hits = hits.groupBy("did", "th").agg(F.collect_set(F.struct("at", "n")).alias("hit"))
+    rest = [c for c in docs.columns if c != "text"]
+    d = docs.select(*key, F.struct(*rest).alias("row"), "text").join(hits, ["did", "th"], "left").select("row", "text", "hit")
+    schema = StructType([d.schema["row"]]).add("text", "string").add("_sentences", "long").add("_removed", "long")
+    return d.mapInArrow(_cut, schema).select("row.*", "text", "_sentences", "_removed").select(*docs.columns, "_sentences", "_removed")
 
 
 def op10_sentence_spans(spark, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def test_order_counts():
 def test_one_of_each_class_stays(spark, rng):
     t = words(rng, 60)
     d = docs(spark, [(3, t, "a"), (1, t, "b"), (1, t, "b"), (2, t + " more", "c"), (9, None, "a"), (10, "", "a"), (None, words(rng, 50), "a"), (None, None, "a")])
-    d = d.withColumn("rows", F.lit(1)).withColumn("k0", F.lit(2)).withColumn("class_id", F.lit(3))
+    d = d.withColumns({c: F.lit(1) for c in ("rows", "k0", "class_id", "did", "row")})
     out = minhash.dedup(d)
     assert out.columns == d.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 1), (False, 9), (False, 10), (True, 0), (True, 0)]
@@ -307,7 +307,7 @@ def test_neighbours_share_terms():
 
 def test_mixture(spark, rng):
     rows = [(i, words(rng, rng.randint(0, 60)), s) for i, s in enumerate(["a"] * 60 + ["b"] * 30 + ["c"] * 5 + ["é"] * 10 + [None] * 20)] + odd_rows(rng)[:7]
-    d = docs(spark, rows).withColumn("size", F.lit(7)).withColumn("u", F.lit(1)).withColumn("copies", F.lit(1))
+    d = docs(spark, rows).withColumns({c: F.lit(7) for c in ("size", "u", "copies", "row", "i", "skey", "salt")})
     out = mixing.mix(d).toPandas()
     assert len(out) == len(rows)
     sizes = Counter()
@@ -453,7 +453,7 @@ def test_sentence_spans(spark, rng):
         body[at:at] = stock[k : k + rng.randint(0, 8)]
         rows.append((i, rng.choice([" ", "  "]).join(body)))
     rows += [(100, None), (101, ""), (102, " . . "), (103, rows[3][1]), (None, rows[4][1]), (104, words(rng, 60) + "."), (105, "A b c. " * 40)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("at", F.lit(1)).withColumn("_hit", F.lit(1)).withColumn("_removed", F.lit("x"))
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("at", "hit", "did", "th", "row", "_removed")})
     out = sentences.dedup_spans(d)
     assert {r.doc_id: r.text or "" for r in out.collect()} == plain_spans(rows)
     assert sentences.dedup_spans(d.where("false")).count() == 0
