@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +81,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("component")), F.struct(F.col("a").alias("node"), F.col("a").alias("component")))).alias("x")).select("x.*").distinct()
 
 
+def release() -> None:
+    """In a Python worker, which outlasts its task: gives back to the system what a large step has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,13 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved
+from .common import bounded_batches, release, saved
 
 WINDOW, END = 2048, 1
 K1, B, TERMS = 1.2, 0.75, 24  # BM25's parameters; terms of a seed that are looked up
 SHARD = 1 << 21  # tokens in a shard, about
 FIRST = 128  # neighbours ranked at first
-CACHED, SHORT = 500_000, 64  # stretches without space whose ids a worker keeps, and their characters at most
+CACHED, SHORT = 250_000, 64  # stretches without space whose ids a worker keeps, and their characters at most
 WIDE = r"[^\x{0}-\x{12f}\x{131}-\x{17f}]|<\|"
 POINTS = string.punctuation
 
@@ -67,6 +67,7 @@ def _tokenize(path: str, batches):
             raw = ids.tobytes()
             known.update((w, raw[x * size : y * size]) for w, x, y in zip(some, [0, *(y + 1 for y in ends)], ends))
 
+    release()
     for b in batches:
         # this tokenizer drops white space and no token crosses it, so what stands between spaces is encoded
         # alone, each different word once; Arrow finds them and numpy puts the ids in their places
@@ -98,7 +99,8 @@ def _tokenize(path: str, batches):
         which = coded.indices.to_numpy()
         n = sizes[which]
         upto = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], n) + np.arange(upto[-1])
+        at = np.repeat(((np.cumsum(sizes) - sizes)[which] - upto[:-1]).astype(np.int32), n)  # a batch is far below 2**31 ids
+        at += np.arange(upto[-1], dtype=np.int32)
         ids = np.frombuffer(b"".join(found), code)[at]
         ends = upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
         for p in {p for p in (*new, *plain) if len(p) > SHORT}:
@@ -253,7 +255,7 @@ def _pack(model, batches):
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n (ids, the closing one included), ids (little-endian, 2 bytes each
     if the vocabulary allows, else 4). A null text is empty and has the closing id only."""
-    bounded_batches(docs.sparkSession, 4000)
+    bounded_batches(docs.sparkSession, 2000)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_tokenize, path or tokenizer_path()), "doc_id long, n long, ids binary")
 
 

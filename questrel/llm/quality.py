@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, table
+from .common import bounded_batches, release, table
 
 BITS = 17  # 2 ** BITS shared weights
 SAMPLE, SAMPLE_BYTES = 4000, 24 << 20  # rated documents of a grade, and bytes of all, that fit the model
@@ -103,7 +103,10 @@ def _fit_rows(batches):
     for b in batches:
         texts += b.column("text").to_pylist()
         grades += b.column("grade").to_pylist()
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, grades))], pa.binary())], ["model"])
+    model = pickle.dumps(fit(texts, grades))
+    texts.clear()
+    release()
+    yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
 
 def _score(model, batches):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, table
+from .common import bounded_batches, release, table
 
 BUCKETS, DIM, SPAN = 1 << 17, 8, 6  # hashed n-grams, their vectors' length, words in a window
 SAMPLE, SAMPLE_BYTES = 4000, 16 << 20  # labelled documents of a class, and bytes of all, that fit the model
@@ -118,6 +118,8 @@ def _fit_rows(batches):
         texts += b.column("text").to_pylist()
         labels += b.column("toxic").to_pylist()
     weights, bias = fit(texts, labels)
+    texts.clear()
+    release()
     yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
 
