@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
 
 K, S, KEEP = 16, 9, 64  # bytes in a k-mer and in its inner substrings; anchors in a fingerprint
 CHUNK = 4096  # bytes worked on at once
