@@ -21,7 +21,7 @@ WINDOW, END = 2048, 1
 K1, B, TERMS = 1.2, 0.75, 24  # BM25's parameters; terms of a seed that are looked up
 SHARD = 1 << 21  # tokens in a shard, about
 FIRST = 128  # neighbours ranked at first
-CACHED, SHORT = 250_000, 64  # stretches without space whose ids a worker keeps, and their characters at most
+CACHED, SHORT = 400_000, 64  # stretches without space whose ids a worker keeps, and their characters at most
 WIDE = r"[^\x{0}-\x{12f}\x{131}-\x{17f}]|<\|"
 POINTS = string.punctuation
 
@@ -255,7 +255,7 @@ def _pack(model, batches):
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n (ids, the closing one included), ids (little-endian, 2 bytes each
     if the vocabulary allows, else 4). A null text is empty and has the closing id only."""
-    bounded_batches(docs.sparkSession, 2000)
+    bounded_batches(docs.sparkSession, 3000)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(partial(_tokenize, path or tokenizer_path()), "doc_id long, n long, ids binary")
 
 
