@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +22,29 @@ NONE = (1 << 63) - 1
 def spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """The sentences (together the text) and, as (first, count), every span.
 
-    A span starts at each sentence that has words and is the shortest run from there of at least FEWEST
-    sentences with words and WORDS words; a sentence of LONG words is a span by itself.
+    Spans are the shortest runs of at least FEWEST sentences with words and WORDS words, both from each such
+    sentence on and back from each, so that together they cover every run of that size; a sentence of LONG
+    words is a span by itself as well.
     """
     parts = SENTENCE.findall(text)
     words = [len(p.split()) for p in parts]
-    found = []
-    end = total = used = 0
-    for i, n in enumerate(words):
-        if i >= end:
-            end, total, used = i, 0, 0
-        if n >= LONG:
-            found.append((i, 1))
-        elif n:
-            while end < len(parts) and (total < WORDS or used < FEWEST):
-                total += words[end]
-                used += words[end] > 0
-                end += 1
-            if total >= WORDS and used >= FEWEST:
-                found.append((i, end - i))
-        if end > i:
-            total -= n
-            used -= n > 0
-    return parts, found
+    full = [i for i, n in enumerate(words) if n]
+    upto = [0, *accumulate(words[i] for i in full)]
+    found = {(i, 1) for i in full if words[i] >= LONG}
+    end = start = 0
+    for k in range(len(full)):
+        end = max(end, k + FEWEST)
+        while end <= len(full) and upto[end] - upto[k] < WORDS:
+            end += 1
+        if end > len(full):
+            break
+        found.add((full[k], full[end - 1] - full[k] + 1))
+    for k in range(FEWEST, len(full) + 1):
+        while start < k - FEWEST and upto[k] - upto[start + 1] >= WORDS:
+            start += 1
+        if upto[k] - upto[start] >= WORDS:
+            found.add((full[start], full[k - 1] - full[start] + 1))
+    return parts, sorted(found)
 
 
 def _hashes(parts: list[str], found: list[tuple[int, int]]) -> np.ndarray:

@@ -459,6 +459,33 @@ def test_sentence_spans(spark, rng):
     assert sentences.dedup_spans(d.where("false")).count() == 0
 
 
+def every_run(text):
+    """Every run of several sentences with 24 words, and sentences of 40, enumerated without spans()."""
+    parts = sentences.SENTENCE.findall(text)
+    n = [len(p.split()) for p in parts]
+    runs = [(a, b) for a in range(len(n)) for b in range(a + 1, len(n) + 1) if n[a] and n[b - 1]]
+    return parts, [(a, b) for a, b in runs if sum(n[a:b]) >= 24 and sum(x > 0 for x in n[a:b]) >= 2 or b == a + 1 and n[a] >= 40]
+
+
+def test_every_repeated_run_goes(spark, rng):
+    sizes = [[23, 11, 33, 8, 15], [20, 30, 5, 5], [45, 8], [8, 45], [3, 4, 5]] + [[rng.choice([1, 3, 8, 20, 45]) for _ in range(rng.randint(1, 7))] for _ in range(30)]
+    rows = []
+    for k, s in enumerate(sizes):
+        passage = " ".join(f"p{k}x{j} " + words(rng, n - 1, 10**6) + "." if n > 1 else f"p{k}x{j}." for j, n in enumerate(s))
+        rows += [(2 * k, words(rng, 30, 10**6) + ". " + passage), (2 * k + 1, words(rng, 9, 10**6) + ". " + passage + " " + words(rng, 12, 10**6) + ".")]
+    first, want = {}, {}
+    for i, t in rows:
+        parts, runs = every_run(t)
+        gone = set()
+        for a, b in runs:
+            if first.setdefault(" ".join("".join(parts[a:b]).split()), (i, a)) != (i, a):
+                gone.update(range(a, b))
+        want[i] = "".join(p for j, p in enumerate(parts) if j not in gone)
+    out = sentences.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == want
+    assert all(len(want[i].split()) == 21 for i in (1, 3, 5, 7))
+
+
 # ---- the pipeline
 
 
