@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-K, S, KEEP = 16, 9, 64  # bytes in a k-mer and in its inner substrings; anchors in a fingerprint
+K, S = 16, 9  # bytes in a k-mer and in its inner substrings
 CHUNK = 4096  # bytes worked on at once
 ROWS, PARTS = 512, 128  # documents in a range at least; at most PARTS * PARTS ranges
 
@@ -55,26 +55,40 @@ def anchors(data: Column) -> Column:
     return F.when(F.length(data) >= K, every).when(F.length(data) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def lowest(found: Column, n: int = KEEP) -> Column:
-    """The n anchors with the least hashes; of equal hashes the first position."""
-    one = _let(F.sort_array(found), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(a, i - 1), 32))))
-    return F.slice(one, 1, n)
+def lowest(found: Column) -> Column:
+    """All anchors, those of lowest hash first; of equal hashes the first position first."""
+    return F.sort_array(found)
 
 
 def text_of(sketch: Column) -> Column:
     """Anchors as text: hash in hex, colon, byte position."""
-    return F.array_join(F.transform(sketch, lambda x: F.concat(F.lpad(F.lower(F.hex(F.shiftright(x, 32))), 8, "0"), F.lit(":"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("string"))), " ")
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.concat(F.lpad(F.hex(F.shiftright(x, 32)), 8, "0"), F.lit(":"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("string"))), " "))
 
 
-def likeness(a: Column, b: Column, n: int = KEEP) -> Column:
-    """Estimate of the share of common k-mers: of the n least hashes of both, how many both have. Two empty ones: 1."""
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the anchors of two texts that both have at one offset, the one that most agree on. Two empty ones: 1.
 
-    def share(x: Column, y: Column) -> Column:
-        least = F.slice(F.sort_array(F.array_union(x, y)), 1, n)
-        return _let(least, lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(u, F.array_intersect(x, y))) / F.size(u)))
+    Of equal hashes in a text only the first position counts. Both are sorted as lowest() does.
+    """
+    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(s, i - 1), 32)))
+    place = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF))
+
+    def offsets(m: Column) -> Column:  # equal hashes stand side by side
+        both = F.transform(m, lambda x, i: F.when(F.shiftright(x, 32) == F.shiftright(F.get(m, i + 1), 32), place(F.get(m, i + 1)) - place(x)))
+        return F.sort_array(F.filter(both, lambda x: x.isNotNull()))
+
+    def most(found: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            run = F.when(s["at"].eqNullSafe(x), s["run"] + 1).otherwise(F.lit(1))
+            return F.struct(x.alias("at"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+        return F.aggregate(found, F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda s: s["best"])
+
+    def share(m: Column) -> Column:
+        return _let(offsets(m), lambda o: F.when(F.size(m) == 0, F.lit(1.0)).otherwise(most(o) / (F.size(m) - F.size(o))))
 
-    hashes = lambda s: F.transform(s, lambda v: F.shiftright(v, 32))
-    return _let(hashes(a), lambda x: _let(hashes(b), lambda y: share(x, y)))
+    marked = lambda y: F.transform(firsts(y), lambda v: v.bitwiseOR(F.lit(0x80000000)))
+    return _let(a, lambda x: _let(b, lambda y: _let(F.sort_array(F.concat(firsts(x), marked(y))), share)))
 
 
 def _ranged(docs: DataFrame, key: str) -> DataFrame:
@@ -110,7 +124,7 @@ def _ranged(docs: DataFrame, key: str) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs: doc_id (integer), text; other columns are ignored. One row for each row of docs.
 
-    Each text (null: empty) gets a fingerprint, the KEEP anchors of least hash with their positions. So
+    Each text (null: empty) gets a fingerprint, all its anchors with their positions, by hash. So
     does its edited text: the last floor(n_chars/3) code points give way to the first as many (or all) of
     the next document in descending doc_id; after the last comes the first, and a lone document follows
     itself. Rows with one doc_id follow each other by text; a null doc_id comes last. An empty table
@@ -126,7 +140,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keep, head = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 3)).cast("int")), F.substring("text", F.lit(1), F.coalesce("need", F.lit(0)))
     d = d.select("bucket", "ghost", "doc_id", "text", "n_chars", keep.alias("keep"), head.alias("head"), anchors(F.col("text").cast("binary")).alias("found"))
     upto = lambda part: F.filter("found", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)) + K <= F.octet_length(part))
-    d = d.select("bucket", "ghost", "doc_id", "text", "n_chars", "keep", "head", lowest(F.col("found")).alias("own"), lowest(upto("keep")).alias("kept"), lowest(upto("head")).alias("taken"))
+    d = d.select("bucket", "ghost", "doc_id", "text", "n_chars", "keep", "head", lowest(F.col("found")).alias("own"), upto("keep").alias("kept"), upto("head").alias("taken"))
     ahead = lambda c: F.lead(c).over(order)
     d = d.select("ghost", "doc_id", "n_chars", "keep", "own", "kept", ahead("head").alias("head"), ahead("taken").alias("taken"), ahead("own").alias("next")).where("not ghost")
     edited = F.concat("keep", "head").cast("binary")

@@ -428,6 +428,24 @@ def test_closed_syncmers(spark, rng):
     assert [x & 0xFFFFFFFF for x in got] == want
 
 
+def test_all_anchors_and_their_places(spark, rng):
+    parts = [words(rng, 300, 10**6) + " " for _ in range(6)]
+    shared = words(rng, 60, 10**6)
+    rows = [(9, "".join(parts)), (8, "".join(parts[3:] + parts[:3])), (7, words(rng, 3000, 10**6) + shared), (6, shared + words(rng, 2000, 10**6)), (5, words(rng, 500, 10**6))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in syncmers.fingerprints(d).collect()}
+    every = {r.doc_id: r.a for r in d.select("doc_id", syncmers.anchors(F.col("text").cast("binary")).alias("a")).collect()}
+    place = {}
+    for i, t in rows:
+        assert out[i].fingerprint.split() == [f"{x >> 32:08x}:{x & 0xFFFFFFFF}" for x in sorted(every[i])] and len(every[i]) > len(t) / 6
+        place[i] = {x >> 32: x & 0xFFFFFFFF for x in sorted(every[i], reverse=True)}
+    for i in (9, 8, 7, 6):
+        a, b = place[i], place[i - 1]
+        agree = Counter(b[h] - a[h] for h in a if h in b)
+        assert abs(out[i].near_next - max(agree.values(), default=0) / len(a.keys() | b.keys())) < 1e-9
+    assert 0.4 < out[9].near_next < 0.6 and 0 < out[7].near_next < 0.05 and out[6].near_next == 0
+
+
 # ---- 10
 
 
