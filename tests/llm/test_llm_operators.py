@@ -302,6 +302,13 @@ def test_neighbours_share_terms():
     assert {p[0] for p in pieces if p[3] == 0} == {0, 2}
 
 
+def test_fill_looks_past_long_neighbours():
+    near = [np.array([1, 2, 3, 4] * 10) for _ in range(130)]
+    d = [np.array([1, 2] * 35), *near, np.array([1] + [5] * 29), *(np.full(35, 10 + i) for i in range(500))]
+    pieces = list(packing.fill(d, np.ones(600), 36.0, window=100))
+    assert [p[:3] for p in pieces if p[3] == 0] == [(0, 0, 70), (131, 0, 30)]
+
+
 # ---- 6
 
 
