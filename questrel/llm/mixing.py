@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
-PLACES = 4096  # first steps of the search for a source's threshold
+PLACES = 4096  # parts of the random numbers' range, and of a part: the two steps of the search for a threshold
 SALTS = 32
+RUNS, NEAREST = 2, 3  # passes that take documents by rank as long as they fit; last places after them
 
 
 def uniform(key: Column) -> Column:
@@ -37,6 +38,81 @@ def targets(sizes: DataFrame, share: float = 1.0, most: float = 3.0) -> DataFram
     return d.withColumn("level", level).select("source", "source_size", "weight", F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"))
 
 
+def _drawn(docs: DataFrame, seed: str = "") -> DataFrame:
+    """doc_id, source, skey, text_key, size, u: a row for each row of docs, with a random number of its own.
+
+    The number comes from the MD5 of doc_id, the text's MD5 and, of rows that are equal in these and the source,
+    the row's number. Equal rows are counted before the shuffle and numbered by a sequence, without a sort.
+    """
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    d = docs.select("doc_id", "source", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null")).alias("text_key"), size.alias("size"))
+    d = d.groupBy(*d.columns).agg(F.count("*").cast("int").alias("rows")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    named = F.concat_ws(":", F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "text_key", F.col("row").cast("string"))
+    return d.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"), "text_key", "size", uniform(named).alias("u"))
+
+
+def _odds() -> Column:
+    return (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
+
+
+def _inside() -> Column:
+    """Whether a pass has taken the document: it was no longer than what then remained, and ranked by the threshold."""
+    return F.exists("cuts", lambda c: (F.col("size") <= c["rest"]) & (F.col("u") <= c["u"])) | F.exists("picked", lambda x: x == F.col("u"))
+
+
+def _run(base: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan after one more pass: of each source the documents left that are no longer than the rest, taken by rank as
+    long as they fit.
+
+    The ranking is never sorted as a whole: words are summed by 1/4096 of the random numbers' range, then by 1/4096
+    of the part where the threshold lies; only what is in that part's part is sorted.
+    """
+    left = base.join(_salted(plan), ["skey", "salt"]).where("f > 0 and size > 0 and size <= rest").where(~_inside())
+    found = plan.select("skey", "rest", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("part"), F.lit(False).alias("all"))
+    for parts in (PLACES, PLACES * PLACES):
+        part = F.floor(F.col("u") * parts)
+        sums = left.withColumn("p", part).groupBy("skey", "p").agg(F.sum("size").alias("words"))
+        sums = sums.join(found, "skey").where(F.lit(parts == PLACES) | (F.floor(F.col("p") / PLACES) == F.col("part")))
+        sums = sums.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("skey").orderBy("p")))
+        edge = sums.where("upto > rest").groupBy("skey").agg(F.min_by(F.struct(F.col("p").alias("part"), (F.col("upto") - F.col("words")).alias("before")), "p").alias("x"))
+        found = saved(plan.select("skey", "rest").join(edge.select("skey", "x.*"), "skey"), "edges")
+    rank = Window.partitionBy("skey").orderBy("odds").rangeBetween(Window.unboundedPreceding, 0)
+    last = left.drop("rest").join(_salted(found), ["skey", "salt"]).where(F.floor(F.col("u") * (PLACES * PLACES)) == F.col("part")).withColumn("odds", _odds())
+    last = last.withColumn("upto", F.col("before") + F.sum("size").over(rank)).where("upto <= rest")
+    last = last.groupBy("skey").agg(F.max("u").alias("u"), F.max("upto").alias("got"))
+    every = left.groupBy("skey").agg(F.sum("size").alias("words"))
+    d = plan.join(found.drop("rest"), "skey", "left").join(last, "skey", "left").join(every, "skey", "left")
+    # a source whose words all fit has no threshold
+    cut = F.when(F.col("part").isNull(), 1.0).otherwise(F.coalesce("u", F.col("part") / (PLACES * PLACES)))
+    got = F.when(F.col("part").isNull(), F.coalesce("words", F.lit(0))).otherwise(F.coalesce("got", "before"))
+    return saved(d.select("skey", "f", F.concat("cuts", F.array(F.struct("rest", cut.alias("u")))).alias("cuts"), "picked", (F.col("rest") - got).alias("rest")), "plan")
+
+
+def _nearest(base: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan after one more place: that of the document left whose size comes closest to the rest, if that brings it nearer to 0."""
+    left = base.join(_salted(plan), ["skey", "salt"]).where("f > 0 and size > 0 and abs(size - rest) < rest").where(~_inside())
+    best = left.withColumn("odds", _odds()).groupBy("skey").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), "odds", "u", "size")).alias("x"))
+    d = plan.join(best, "skey", "left")
+    more = F.when(F.col("x").isNotNull(), F.array("x.u")).otherwise(F.array().cast("array<double>"))
+    return saved(d.select("skey", "f", "cuts", F.concat("picked", more).alias("picked"), (F.col("rest") - F.coalesce("x.size", F.lit(0))).alias("rest")), "plan")
+
+
+def _mixed(docs: DataFrame, share: float, most: float, seed: str) -> DataFrame:
+    base = saved(_drawn(docs, seed).withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")), "mix")
+    plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    plan = plan.withColumn("certain", F.floor(rate).cast("long")).withColumn("f", rate - F.floor(rate))
+    plan = plan.withColumn("want", F.col("target") - F.col("certain") * F.col("source_size"))
+    plan = saved(plan.withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source", "weight"), "plan")
+    steps = plan.select("skey", "f", F.array().cast("array<struct<rest:double,u:double>>").alias("cuts"), F.array().cast("array<double>").alias("picked"), F.col("want").alias("rest"))
+    for step in [_run] * RUNS + [_nearest] * NEAREST:
+        steps = step(base, steps)
+    d = base.join(_salted(plan.drop("f", "want").join(steps.drop("rest"), "skey")), ["skey", "salt"])
+    extra = ((F.col("f") > 0) & _inside()).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("certain") + extra).otherwise(0).cast("long")
+    return d.select("doc_id", "source", "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
 def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, seed: str = "") -> DataFrame:
     """Which documents a mix of the sources takes, and how often.
 
@@ -46,61 +122,33 @@ def mix(docs: DataFrame, share: float = 1.0, most: float = 3.0, seed: str = "")
     A source whose target is r times its size takes floor(r) certain copies of each document. The rest,
     f = r - floor(r), is the inclusion probability of one more copy: documents are ranked by their random
     odds u/(1-u) over the inclusion odds f/(1-f), and the first are taken as long as they fit the words
-    that remain. One more place goes to the document left whose size comes closest to what then remains,
-    if that brings the sum nearer. The sample's size is fixed in words, not in documents. Random numbers
-    come from the MD5 of doc_id, so reruns agree. Rows that repeat a doc_id (null included) in a source
-    share one rank and are taken together. Empty tables give empty results; a source without words
-    takes nothing.
-
-    The ranking is never sorted as a whole: words are summed by source and 1/4096 of the random numbers'
-    range, which finds the interval of each threshold; only that interval's documents are then sorted.
+    that remain; then, in a second pass, those of the others that are short enough. Last places go,
+    one after another, to the document left whose size comes closest to what then remains, while that
+    brings the sum nearer. The sample's size is fixed in words, not in documents. Reruns agree; rows that
+    repeat a doc_id (null included) and text have numbers of their own. Empty tables give empty results;
+    a source without words takes nothing.
+
     A source with a third of all rows is summed before the shuffle, and joins to it are salted.
     """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    base = docs.select("doc_id", "source", key.alias("skey"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), uniform(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("u"))
-    base = saved(base.withColumn("place", F.floor(F.col("u") * PLACES).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "mix")
-    hist = saved(base.groupBy("skey", "source", "place").agg(F.sum("size").alias("words")), "hist")
-
-    plan = targets(hist.groupBy("source").agg(F.sum("words").alias("source_size")), share, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = plan.withColumn("certain", F.floor(rate).cast("long")).withColumn("f", rate - F.floor(rate))
-    plan = plan.withColumn("want", F.col("target") - F.col("certain") * F.col("source_size"))
-    plan = saved(plan.withColumn("skey", key).drop("source", "weight"), "plan")
-
-    before = Window.partitionBy("skey").orderBy("place")
-    steps = hist.join(plan.select("skey", "want", "f"), "skey").withColumn("upto", F.sum("words").over(before))
-    steps = steps.where("upto > want").groupBy("skey").agg(F.min_by(F.struct("place", (F.col("upto") - F.col("words")).alias("before"), "want", "f"), "place").alias("x")).select("skey", "x.*")
-
-    rank = Window.partitionBy("skey").orderBy("odds").rangeBetween(Window.unboundedPreceding, 0)
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
-    edge = base.join(_salted(steps), ["skey", "salt", "place"]).where("f > 0").withColumn("odds", odds)
-    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(rank)).where("upto <= want")
-    edge = edge.groupBy("skey").agg(F.max("odds").alias("last"), F.max("upto").alias("got"))
-
-    # last place, and what it has got: documents rank up to it; all places below the interval count
-    plan = plan.join(steps.select("skey", "place", "before"), "skey", "left").join(edge, "skey", "left")
-    plan = plan.withColumn("got", F.coalesce("got", "before", F.lit(0))).withColumn("rest", F.col("want") - F.col("got")).drop("before")
-    plan = saved(plan, "plan")
-    ranked = base.join(_salted(plan.withColumnRenamed("place", "edge")), ["skey", "salt"]).withColumn("odds", F.when(F.col("f") > 0, odds))
-    # a source whose words all fit has no interval
-    inside = F.coalesce((F.col("f") > 0) & (F.col("edge").isNull() | (F.col("place") < F.col("edge")) | ((F.col("place") == F.col("edge")) & (F.col("odds") <= F.col("last")))), F.lit(False))
-    ranked = ranked.withColumn("inside", inside)
-    closest = ranked.where("f > 0 and not inside and size > 0 and abs(size - rest) < rest").groupBy("skey").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("off"), "odds")).alias("best"))
-    closest = closest.select("skey", F.col("best.odds").alias("more"), F.col("best.off").alias("off"))
-    out = ranked.join(_salted(closest), ["skey", "salt"], "left")
-    extra = (F.col("inside") | F.coalesce((F.col("odds") == F.col("more")) & (F.abs(F.col("size") - F.col("rest")) == F.col("off")), F.lit(False))).cast("long")
-    copies = F.when(F.col("size") > 0, F.col("certain") + extra).otherwise(0).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return _mixed(docs, share, most, seed).drop("text_key")
 
 
 def repeat(docs: DataFrame, share: float = 1.0, most: float = 3.0) -> DataFrame:
-    """docs with each row as often as mix() takes it. doc_id, source and size together say how often, which
-    is the same for all rows that repeat them; documents without words are taken never."""
-    picked = mix(docs, share, most).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("copies"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("s"), size.alias("n"))
-    d = d.join(picked, F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
-    return d.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """docs with each row as often as mix() takes it; documents without words are taken never.
+
+    Of rows equal in doc_id, source and text each is there as often as the one taken least, and one of them
+    as often again as the mix takes more.
+    """
+    keys = ["doc_id", "source", "text_key"]
+    picked = _mixed(docs, share, most, "").groupBy(*keys).agg(F.min("copies").cast("int").alias("each"), (F.sum("copies") - F.min("copies") * F.count("*")).cast("int").alias("more"))
+    picked = saved(picked.where("each + more > 0"), "picked")
+    named = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("s"), named.alias("k"))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & F.col("s").eqNullSafe(F.col("source")) & (F.col("k") == F.col("text_key"))
+    often = lambda c: F.explode(F.sequence(F.lit(1), F.col(c)))
+    every = d.join(picked.where("each > 0"), same).select("row", often("each")).select("row.*")
+    one = d.join(picked.where("more > 0"), same).dropDuplicates(["i", "s", "k"]).select("row", often("more")).select("row.*")
+    return every.unionByName(one)
 
 
 def _salted(small: DataFrame) -> DataFrame:
@@ -111,10 +159,28 @@ def op6_pareto_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-SQL = r"""
+def _sql() -> str:
+    steps, before = [], "drawn"
+    for i in range(RUNS):
+        steps.append(f"""
+e{i} AS (SELECT *, f > 0 AND NOT inside AND size > 0 AND size <= rest AS fits FROM {before}),
+u{i} AS (SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds) <= rest AS took FROM e{i}),
+r{i} AS (SELECT * EXCLUDE (fits, took) REPLACE (inside OR took AS inside, rest - coalesce(sum(CASE WHEN took THEN size END) OVER (PARTITION BY source), 0) AS rest) FROM u{i}),""")
+        before = f"r{i}"
+    for i in range(NEAREST):
+        steps.append(f"""
+c{i} AS (SELECT *, f > 0 AND NOT inside AND size > 0 AND abs(size - rest) < rest AS fits FROM {before}),
+b{i} AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - rest), odds) = 1 AS took FROM c{i}),
+n{i} AS (SELECT * EXCLUDE (fits, took) REPLACE (inside OR took AS inside, rest - coalesce(sum(CASE WHEN took THEN size END) OVER (PARTITION BY source), 0) AS rest) FROM b{i}),""")
+        before = f"n{i}"
+    return FIRST_SQL + "".join(steps).rstrip(",") + f"""
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (certain + CASE WHEN inside THEN 1 ELSE 0 END) * size ELSE 0 END::BIGINT AS taken FROM {before}"""
+
+
+FIRST_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null') || ':' || row_number() OVER (PARTITION BY doc_id, source, text)), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -129,13 +195,8 @@ plan AS (
 rates AS (
   SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END)::BIGINT AS certain,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS f FROM plan),
-ranked AS (
-  SELECT b.doc_id, b.size, r.*, r.target - r.certain * r.source_size AS want, (b.u / (1 - b.u)) / (r.f / (1 - r.f)) AS odds,
-    sum(b.size) OVER (PARTITION BY b.source ORDER BY b.u) AS upto
-  FROM base b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source),
-inside AS (SELECT *, f > 0 AND upto <= want AS inside FROM ranked),
-rests AS (SELECT *, want - coalesce(max(CASE WHEN inside THEN upto END) OVER (PARTITION BY source), 0) AS rest FROM inside),
-best AS (SELECT *, row_number() OVER (PARTITION BY source, f > 0 AND NOT inside AND size > 0 AND abs(size - rest) < rest ORDER BY abs(size - rest), odds) = 1
-    AND f > 0 AND NOT inside AND size > 0 AND abs(size - rest) < rest AS best FROM rests)
-SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN (certain + (CASE WHEN inside OR best THEN 1 ELSE 0 END)) * size ELSE 0 END::BIGINT AS taken FROM best
-"""
+drawn AS (
+  SELECT b.doc_id, b.size, r.*, r.target - r.certain * r.source_size AS rest, (b.u / (1 - b.u)) / (r.f / (1 - r.f)) AS odds, false AS inside
+  FROM base b JOIN rates r ON b.source IS NOT DISTINCT FROM r.source),"""
+
+SQL = _sql()
