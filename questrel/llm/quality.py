@@ -10,14 +10,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, release, table
+from .common import bounded_batches, release, table, within
 
 BITS = 17  # 2 ** BITS shared weights
 SAMPLE, SAMPLE_BYTES = 4000, 24 << 20  # rated documents of a grade, and bytes of all, that fit the model
+GRADES = 100  # different grades at most
 STEPS, RATE, DECAY = 150, 0.3, 1e-5
 CACHED = 400_000  # tokens whose features a worker keeps
 SHAPES = ((re.compile(r"\d+"), "9"), (re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "x"), (re.compile(r"[^\W\d_]+"), "X"))
@@ -122,11 +123,12 @@ def _score(model, batches):
 
 
 def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", fold: int | None = None):
-    """Fit on rated documents (ratings: doc_id and the grade, integers of any number) and broadcast the model.
+    """Fit on rated documents (ratings: doc_id and the grade, integers) and broadcast the model.
 
-    Fitted on at most SAMPLE documents a grade and SAMPLE_BYTES bytes of text, by order of a hash of doc_id;
-    with a fold, only on documents whose crc32(doc_id as text) modulo 5 differs from it. Nulls are passed
-    over; of a repeated id the largest grade and text count. The number of grades is taken to be small.
+    More than GRADES different grades are an error. Fitted on at most SAMPLE documents a grade and an equal share
+    of SAMPLE_BYTES bytes of text, by order of a hash of doc_id; texts over common.LARGE bytes come last, and it is an
+    error if not even the first text of a grade fits. With a fold, only on documents whose crc32(doc_id as text)
+    modulo 5 differs from it. Nulls are passed over; of a repeated id the largest grade and text count.
     """
     spark = docs.sparkSession
     d = ratings.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull())
@@ -134,7 +136,9 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", fold: int
         d = d.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != fold)
     d = d.groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
     order = F.xxhash64("doc_id", F.lit(13))
-    levels = [r.grade for r in d.select("grade").distinct().orderBy("grade").limit(100).collect()]
+    levels = [r.grade for r in d.select("grade").distinct().orderBy("grade").limit(GRADES + 1).collect()]
+    if len(levels) > GRADES:
+        raise ValueError(f"more than {GRADES} different grades: give coarser ones")
     ids = None
     for level in levels:
         part = d.where(F.col("grade") == level).orderBy(order, "doc_id").limit(SAMPLE)
@@ -142,8 +146,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: str = "quality", fold: int
     if ids is None:
         return spark.sparkContext.broadcast(fit([], []))
     sizes = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.max(F.octet_length("text")).alias("n"))
-    run = F.sum("n").over(Window.partitionBy("grade").orderBy(order, "doc_id"))  # SAMPLE rows at most
-    ids = sizes.withColumn("run", run).where(F.col("run") <= SAMPLE_BYTES // len(levels)).select("doc_id", "grade")
+    ids = within(sizes, "grade", order, SAMPLE_BYTES // len(levels))
     rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "grade").agg(F.max("text").alias("text"))
     bounded_batches(spark)
     found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_rows, "model binary").first()

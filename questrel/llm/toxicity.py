@@ -9,11 +9,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, release, table
+from .common import bounded_batches, release, table, within
 
 BUCKETS, DIM, SPAN = 1 << 17, 8, 6  # hashed n-grams, their vectors' length, words in a window
 SAMPLE, SAMPLE_BYTES = 4000, 16 << 20  # labelled documents of a class, and bytes of all, that fit the model
@@ -156,9 +156,10 @@ def _score(model, batches):
 def train(docs: DataFrame, labels: DataFrame, fold: int | None = None):
     """Fit on labelled documents (labels: doc_id, toxic), in one task, and broadcast the model, whose size is fixed.
 
-    Fitted on at most SAMPLE documents of each class and SAMPLE_BYTES bytes of text, by order of a hash of
-    doc_id. With a fold, only documents count whose crc32(doc_id as text) modulo 5 differs from it. Null
-    labels, ids and texts are passed over; of a repeated id the largest label and text count.
+    Fitted on at most SAMPLE documents of each class and SAMPLE_BYTES / 2 bytes of its text, by order of a hash
+    of doc_id; texts over common.LARGE bytes come last. An error if not even the first text of a class fits. With a
+    fold, only documents count whose crc32(doc_id as text) modulo 5 differs from it. Null labels, ids and
+    texts are passed over; of a repeated id the largest label and text count.
     """
     spark = docs.sparkSession
     d = labels.where("doc_id is not null and toxic is not null")
@@ -170,8 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = None):
     ids = picked[0].union(picked[1])
     # bytes before texts, so that the sample is bounded
     sizes = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max(F.octet_length("text")).alias("n"))
-    run = F.sum("n").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id"))  # SAMPLE rows at most
-    ids = sizes.withColumn("run", run).where(F.col("run") <= SAMPLE_BYTES // 2).select("doc_id", "toxic")
+    ids = within(sizes, "toxic", order, SAMPLE_BYTES // 2)
     rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     bounded_batches(spark)
     found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fit_rows, "weights binary, bias double").first()
