@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -13,10 +12,12 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, drop, saved
 
-SHINGLE, LIKE = 5, 0.8
-BANDS, ROWS, LEAST = 24, 2, 2  # sketches in a band; minima in a sketch
+SHINGLE, LIKE = 5, 0.8  # words in a run that sketches sample; share of words that align
+BANDS, LEAST = 32, 2  # sketches of a text, and minima in each
+BRIEF, PAIR, MORE = 60, 2, 16  # texts of so many words or fewer also get MORE sketches over runs of PAIR words
 CACHED = 400_000
-QUERIES, MEMBERS = 512, 2048  # documents of a bucket that meet at once
+QUERIES, MEMBERS = 512, 1024  # documents of a bucket that meet at once
+FOLD = 512  # cells in which words are counted before they are aligned
 MEETING = "array<struct<query:boolean,x:int,y:int>>"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,22 +28,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-_MULT = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _PRIME) | np.uint64(1)
+_MULT = _mix(np.arange(1, BANDS + MORE + 1, dtype=np.uint64) * _PRIME) | np.uint64(1)
 
 
-def shingles(text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of five words (all words, if fewer; none without words), and the same with their
-    occurrence number in the text, so that no two are equal. Words are split at white space, in lower case."""
+def hashed(text: str | None, known: dict) -> np.ndarray:
+    """A 64-bit hash of each word. Words are split at white space, in lower case."""
     words = (text or "").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if len(known) > CACHED:
         known.clear()
     for w in set(words):
         if w not in known:
             known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-    each = np.array([known[w] for w in words], np.uint64)
-    size = min(SHINGLE, len(each))
+    return np.array([known[w] for w in words], np.uint64)
+
+
+def shingles(each: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of `size` words (of all, if there are fewer), and the same with their occurrence number
+    in the text, so that no two are equal. There is one word at least."""
+    size = min(size, len(each))
     n = len(each) - size + 1
     plain = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -56,18 +59,18 @@ def shingles(text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
         return plain, _mix(plain + occurrence * np.uint64(0xA24BAED4963EE407))
 
 
-def bands(plain: np.ndarray, labelled: np.ndarray) -> np.ndarray:
-    """Hashes of BANDS bands of ROWS order-min-hash sketches.
+def bands(plain: np.ndarray, labelled: np.ndarray, first: int = 0, last: int = BANDS) -> np.ndarray:
+    """Order-min-hash sketches number `first` up to `last`.
 
     A sketch ranks the labelled shingles by one hash function, takes the LEAST lowest and joins them in
     their order in the text.
     """
-    n = len(labelled)
-    step = max(1, min(len(_MULT), (1 << 22) // n))
+    n, mult = len(labelled), _MULT[first:last]
+    step = max(1, min(len(mult), (1 << 22) // n))
     places = []
     with np.errstate(over="ignore"):
-        for lo in range(0, len(_MULT), step):
-            ranks = _mix(labelled[None, :] * _MULT[lo : lo + step, None])
+        for lo in range(0, len(mult), step):
+            ranks = _mix(labelled[None, :] * mult[lo : lo + step, None])
             rows = np.arange(len(ranks))
             found = []
             for _ in range(min(LEAST, n)):
@@ -75,66 +78,107 @@ def bands(plain: np.ndarray, labelled: np.ndarray) -> np.ndarray:
                 found.append(at)
                 ranks[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
             places.append(np.sort(np.stack(found, 1), 1))
-        joined = np.zeros(len(_MULT), np.uint64)
+        out = np.arange(first, last, dtype=np.uint64)
         for at in np.concatenate(places).T:
-            joined = _mix(joined * _PRIME + plain[at])
-        out = np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            out = _mix(out * _PRIME + joined[r::ROWS])
+            out = _mix(out * _PRIME + plain[at])
     return out
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float = LIKE) -> bool:
-    """Whether two sequences of labelled shingles align well enough: with L the length of their longest common
-    subsequence, L / (|a| + |b| - L) >= least.
+def sketches(each: np.ndarray) -> np.ndarray:
+    """All sketches of a text of one word at least.
 
-    That bounds how far a match may lie off the diagonal, so only matches in that band count. Labelled
-    shingles don't repeat, so the alignment is the longest rising run of matched places.
+    Of 100 words that align to 0.8, as few as 4 in 9 runs of five may be whole, and fewer in a short text:
+    so BANDS sketches of LEAST minima, and for brief texts MORE over shorter runs. A brief text's partner
+    of 0.8 is brief itself or both are long enough for runs of five.
     """
-    need = least * (len(a) + len(b)) / (1 + least) - 1e-9
-    if min(len(a), len(b)) < need:
+    found = bands(*shingles(each))
+    return np.concatenate([found, bands(*shingles(each, PAIR), BANDS, BANDS + MORE)]) if len(each) <= BRIEF else found
+
+
+def needed(a: int, b, least: float):
+    """How many words must align in texts of a and b words."""
+    return least * (a + b) / (1 + least) - 1e-9
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = LIKE) -> bool:
+    """Whether two texts, as hashes of their words, align well enough: with L the length of their longest common
+    subsequence of words, L / (|a| + |b| - L) >= least. Exact: see aligned()."""
+    need, n = needed(len(a), len(b), least), min(len(a), len(b))
+    if n < need:
         return False
-    _, at, to = np.intersect1d(a, b, return_indices=True)
-    off = to - at
-    ok = (off <= len(b) - need) & (off >= need - len(a))
-    to = to[ok][np.argsort(at[ok])]
-    if len(to) < need:
+    same = a[:n] == b[:n]  # equal ends are aligned as they stand
+    head = n if same.all() else int(same.argmin())
+    a, b, n = a[head:], b[head:], n - head
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    tail = n if same.all() else int(same.argmin())
+    a, b, n, need = a[: len(a) - tail], b[: len(b) - tail], n - tail, need - head - tail
+    if need <= 0 or n < need:
+        return need <= 0
+    if np.minimum(folded(a), folded(b)).sum() < need:
         return False
-    if (to[1:] > to[:-1]).all():
-        return True
-    tails: list[int] = []
-    for x in to.tolist():
-        k = bisect_left(tails, x)
-        if k == len(tails):
-            tails.append(x)
-        else:
-            tails[k] = x
-    return len(tails) >= need
+    return aligned(a.tolist(), b.tolist(), need) >= need
+
+
+def folded(a: np.ndarray) -> np.ndarray:
+    """Words counted in FOLD cells: the cells' lesser counts sum to no less than any alignment's length."""
+    return np.bincount((a & (FOLD - 1)).astype(np.int64), minlength=FOLD)
+
+
+def aligned(a: list[int], b: list[int], need: float) -> int:
+    """The length of the longest common subsequence if it is `need` or more, else some number below it.
+
+    To reach it, a match may lie so far off the diagonal only as words may stay unmatched; so only that band
+    is looked at. A row of the band is one integer whose zeros mark where the length rises; a word of b
+    moves them by an addition (bit-parallel dynamic programming), and the band moves on by one place.
+    """
+    before, after = int(len(b) - need), int(len(a) - need)
+    width = before + after + 1
+    full, top = (1 << width) - 1, 1 << (width - 1)
+    places: dict[int, int] = {}
+    there = set(b)
+    for i, x in enumerate(a):
+        if x in there:
+            places[x] = places.get(x, 0) | 1 << i
+    row, done = full, 0
+    for j, x in enumerate(b):
+        if j:
+            done += not row & 1
+            row = row >> 1 | top
+        m = places.get(x)
+        if m:
+            m = m >> (j - before) if j >= before else m << (before - j)
+            hit = row & m
+            if hit:
+                row = (row + hit | row - hit) & full
+        if not j & 127 and done + width - row.bit_count() + len(b) - j - 1 < need:
+            return 0
+    return done + width - row.bit_count()
 
 
 def _sketch(batches):
     known: dict = {}
     for b in batches:
-        sizes, sketches = [], []
+        sizes, found = [], []
         for text in b.column("text").to_pylist():
-            plain, labelled = shingles(text, known)
-            sizes.append(len(plain))
-            sketches.append(bands(plain, labelled).astype(np.int64).tobytes() if len(plain) else None)
-        yield pa.RecordBatch.from_arrays([b.column("did"), b.column("k0"), b.column("k1"), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["did", "k0", "k1", "n", "sketch"])
+            each = hashed(text, known)
+            sizes.append(len(each))
+            found.append(sketches(each).astype(np.int64).tobytes() if len(each) else None)
+        yield pa.RecordBatch.from_arrays([b.column("did"), b.column("k0"), b.column("k1"), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["did", "k0", "k1", "n", "sketch"])
 
 
 def _unpack(batches):
     for b in batches:
         if b.num_rows:
-            h = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.int64)
-            each = [np.repeat(b.column(c).to_numpy(), BANDS) for c in ("rep", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(h), *map(pa.array, each)], ["band", "h", "rep", "n"])
+            found = b.column("sketch").to_pylist()
+            sizes = np.array([len(x) // 8 for x in found])
+            band = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), sizes))], ["band", "h", "rep"])
 
 
-def _labelled(batches):
+def _words(batches):
     known: dict = {}
     for b in batches:
-        data = [shingles(t, known)[1].astype(np.uint32).tobytes() for t in b.column("text").to_pylist()]
+        data = [hashed(t, known).astype(np.uint32).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(data, pa.binary())], ["rep", "data"])
 
 
@@ -146,9 +190,8 @@ def _verify(least, batches):
 
 
 def _meet(least, batches):
-    """Blocks (sorted by place) of queries and members of one bucket. A query meets all members at once over
-    an inverted index of their labelled shingles; what shares enough is aligned. Yields a link for each
-    query and other class at most."""
+    """Blocks (sorted by place) of queries and members of one bucket. A query meets all members at once by their
+    folded counts; what may align enough is aligned. Yields a link for each query and other class at most."""
     held: list = []
     place = None
     out: list = []
@@ -160,18 +203,15 @@ def _meet(least, batches):
             return
         data = [np.frombuffer(r[3], np.uint32) for r in members]
         sizes = np.array([len(x) for x in data])
-        flat = np.concatenate(data)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], np.repeat(np.arange(len(data)), sizes)[order]
+        counts = np.stack([folded(x).astype(np.int32) for x in data])
         of = np.array([r[2] for r in members])
         for _, rep, own, raw in queries:
             x = np.frombuffer(raw, np.uint32)
-            lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
-            n = hi - lo
-            at = np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            both = np.bincount(owner[at], minlength=len(data))
+            need = needed(len(x), sizes, least)
+            may = np.flatnonzero((np.minimum(sizes, len(x)) >= need) & (of != own))
+            may = may[np.minimum(counts[may], folded(x).astype(np.int32)).sum(1) >= need[may]]
             seen = set()
-            for k in np.flatnonzero((both >= least * (len(x) + sizes) / (1 + least) - 1e-9) & (of != own)).tolist():
+            for k in may.tolist():
                 if of[k] not in seen and alike(x, data[k], least):
                     seen.add(of[k])
                     out.append((rep, members[k][1]))
@@ -208,52 +248,61 @@ def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
     """docs: doc_id (integer, a key), text; other columns are ignored. A row for each (doc_id, text):
     did, k0, k1 (128-bit hash of the text), rows (how often it occurs), class_id, the least id of its class.
 
-    Documents are linked if their texts are equal or their labelled shingles of five words align to `least`
-    or more (see alike()); classes are what links join. Null, empty and blank texts link with nothing. A null
-    doc_id gets a negative id made from its text. An empty table gives an empty result.
+    Documents are linked if their texts are equal or their words align to `least` or more (see alike());
+    classes are what links join. Null, empty and blank texts link with nothing. A null doc_id gets a
+    negative id made from its text. An empty table gives an empty result.
 
-    Equal texts become one by an aggregate first. Then each bucket (band and hash) links its members to its
-    least member, so a bucket with a third of all rows makes as many candidates as it has members. What a
-    bucket still holds outside its least member's class meets all of the bucket, in blocks that compare
+    Equal texts become one by an aggregate first. Then each bucket (sketch number and hash) links its members
+    to its least member, so a bucket with a third of all rows makes as many candidates as it has members. What
+    a bucket still holds outside its least member's class meets all of the bucket, in blocks that compare
     many at once and yield links between classes only; so no candidate is lost, and no pairs are listed.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     light = saved(_rows(docs).mapInArrow(_sketch, "did long, k0 long, k1 long, n long, sketch binary"), "sketches")
-    reps = light.where("n > 0").groupBy("k0", "k1").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = light.where("n > 0").groupBy("k0", "k1").agg(F.min("did").alias("rep"), F.first("sketch").alias("sketch"))
     reps = saved(reps, "reps")
-    buckets = saved(reps.select("rep", "n", "sketch").mapInArrow(_unpack, "band int, h long, rep long, n long"), "buckets")
+    buckets = saved(reps.select("rep", "sketch").mapInArrow(_unpack, "band int, h long, rep long"), "buckets")
     center = buckets.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").drop("z")
-    shared = saved(buckets.join(saved(center, "centers"), ["band", "h"]), "shared")  # a join of two tables can split a hot key
-    drop(spark, buckets)
+    center = saved(center, "centers")  # a join of two tables can split a hot key
+    shared = saved(buckets.join(center.hint("merge"), ["band", "h"]), "shared")
+    drop(buckets, center)
 
-    wanted = reps.join(shared.select("rep").distinct(), "rep", "left_semi").select("k0", "k1", F.col("rep").alias("did"))
-    texts = _rows(docs).join(wanted, ["did", "k0", "k1"]).select(F.col("did").alias("rep"), "text")
-    data = saved(texts.mapInArrow(_labelled, "rep long, data binary").dropDuplicates(["rep"]), "labelled")
+    wanted = reps.join(shared.select("rep").distinct().hint("merge"), "rep", "left_semi").select("k0", "k1", F.col("rep").alias("did"))
+    texts = _rows(docs).join(wanted.hint("merge"), ["did", "k0", "k1"]).select(F.col("did").alias("rep"), "text")
+    data = saved(texts.mapInArrow(_words, "rep long, data binary").dropDuplicates(["rep"]), "words")
     left, right = (data.select(F.col("rep").alias(x), F.col("data").alias(f"d{x}")) for x in "ab")
     pairs = saved(shared.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    links = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "da", "db").mapInArrow(partial(_verify, least), "a long, b long"), "links")
-    joined = components(links)
+    links = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "da", "db")
+    links = saved(links.mapInArrow(partial(_verify, least), "a long, b long"), "links")
+    joined = saved(components(links), "joined")
+    drop(pairs)
 
     place = ["band", "h"]
-    of = shared.join(joined, shared.rep == joined.node, "left").select(*place, "rep", F.coalesce("component", "rep").alias("c"))
+    of = shared.join(joined.hint("merge"), shared.rep == joined.node, "left").select(*place, "rep", F.coalesce("component", "rep").alias("c"))
     of = saved(of, "classed")
+    drop(shared)
     main = of.groupBy(*place).agg(F.min_by("c", "rep").alias("main"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1")
-    of = of.join(saved(main.select(*place, "main", "n"), "mains"), place).withColumn("other", F.col("c") != F.col("main"))
-    of = saved(of, "mixed")
-    others = saved(of.where("other").groupBy(*place).agg(F.count("*").alias("others")), "others")
-    of = of.join(others, place).withColumn("xs", F.ceil(F.col("others") / QUERIES).cast("int")).withColumn("ys", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    main = saved(main.select(*place, "main", "n"), "mains")
+    mixed = saved(of.join(main.hint("merge"), place).withColumn("other", F.col("c") != F.col("main")), "mixed")
+    others = saved(mixed.where("other").groupBy(*place).agg(F.count("*").alias("others")), "others")
+    drop(of, main)
+    of = mixed.join(others.hint("merge"), place).withColumn("xs", F.ceil(F.col("others") / QUERIES).cast("int")).withColumn("ys", F.ceil(F.col("n") / MEMBERS).cast("int"))
     part = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(n)).cast("int")
     member = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(F.lit(False).alias("query"), x.alias("x"), part("ys").alias("y")))
     query = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: F.struct(F.lit(True).alias("query"), part("xs").alias("x"), y.alias("y")))
     sent = of.withColumn("to", F.explode(F.concat(member, F.when(F.col("other"), query).otherwise(F.array().cast(MEETING))))).select(*place, "to.*", "rep", "c")
-    sent = sent.join(data, "rep").repartition(*place, "x", "y").sortWithinPartitions(*place, "x", "y")
+    sent = sent.join(data.hint("merge"), "rep").repartition(*place, "x", "y").sortWithinPartitions(*place, "x", "y")
     more = saved(sent.mapInArrow(partial(_meet, least), "a long, b long"), "links")
-    joined = components(links.union(more)) if not more.isEmpty() else joined
-    known = reps.join(joined, reps.rep == joined.node, "left").select("k0", "k1", F.coalesce("component", "rep").alias("class_id"))
+    if not more.isEmpty():
+        first, joined = joined, saved(components(links.union(more)), "joined")
+        drop(first)
+    known = reps.join(joined.hint("merge"), reps.rep == joined.node, "left").select("k0", "k1", F.coalesce("component", "rep").alias("class_id"))
     rows = light.groupBy("did", "k0", "k1", "n").agg(F.count("*").alias("rows"))
-    out = rows.where("n > 0").join(known, ["k0", "k1"]).select("did", "k0", "k1", "rows", "class_id")
-    return saved(out.union(rows.where("n = 0").select("did", "k0", "k1", "rows", F.col("did").alias("class_id"))), "classes")
+    out = rows.where("n > 0").join(known.hint("merge"), ["k0", "k1"]).select("did", "k0", "k1", "rows", "class_id")
+    out = saved(out.union(rows.where("n = 0").select("did", "k0", "k1", "rows", F.col("did").alias("class_id"))), "classes")
+    drop(light, reps, data, links, more, joined, mixed, others)
+    return out
 
 
 def dedup(docs: DataFrame, least: float = LIKE) -> DataFrame:
