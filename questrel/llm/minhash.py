@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import partial
 
 import numpy as np
@@ -16,9 +17,9 @@ SHINGLE, LIKE = 5, 0.8  # words in a run that sketches sample; share of words th
 BANDS, LEAST = 32, 2  # sketches of a text, and minima in each
 BRIEF, PAIR, MORE = 60, 2, 16  # texts of so many words or fewer also get MORE sketches over runs of PAIR words
 CACHED = 400_000
-QUERIES, MEMBERS = 512, 1024  # documents of a bucket that meet at once
+QUERIES, MEMBERS, WORDS = 2048, 4096, 1 << 21  # documents of a bucket that meet at once, and the members' words, about
+STEPS = 4  # lengths that meet lie within one step of 1/least; bins of a bucket's lengths are so many steps wide
 FOLD = 512  # cells in which words are counted before they are aligned
-MEETING = "array<struct<query:boolean,x:int,y:int>>"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,7 +173,7 @@ def _unpack(batches):
             found = b.column("sketch").to_pylist()
             sizes = np.array([len(x) // 8 for x in found])
             band = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int64)), pa.array(np.repeat(b.column("rep").to_numpy(), sizes))], ["band", "h", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int64)), *(pa.array(np.repeat(b.column(c).to_numpy(), sizes)) for c in ("rep", "n"))], ["band", "h", "rep", "n"])
 
 
 def _words(batches):
@@ -222,7 +223,7 @@ def _meet(least, batches):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for b in batches:
-        for *key, query, rep, c, data in zip(*(b.column(x).to_pylist() for x in ("band", "h", "x", "y", "query", "rep", "c", "data")), strict=True):
+        for *key, query, rep, c, data in zip(*(b.column(x).to_pylist() for x in ("band", "h", "bin", "x", "y", "query", "rep", "c", "data")), strict=True):
             if key != place:
                 done()
                 held, place = [], key
@@ -254,15 +255,16 @@ def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
 
     Equal texts become one by an aggregate first. Then each bucket (sketch number and hash) links its members
     to its least member, so a bucket with a third of all rows makes as many candidates as it has members. What
-    a bucket still holds outside its least member's class meets all of the bucket, in blocks that compare
-    many at once and yield links between classes only; so no candidate is lost, and no pairs are listed.
+    a bucket still holds outside its least member's class meets all of the bucket whose length allows a link, in
+    blocks that compare many at once and yield links between classes only; so no candidate is lost, and no pairs
+    are listed. A block's texts are bounded in number and words.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     light = saved(_rows(docs).mapInArrow(_sketch, "did long, k0 long, k1 long, n long, sketch binary"), "sketches")
-    reps = light.where("n > 0").groupBy("k0", "k1").agg(F.min("did").alias("rep"), F.first("sketch").alias("sketch"))
+    reps = light.where("n > 0").groupBy("k0", "k1").agg(F.min("did").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = saved(reps, "reps")
-    buckets = saved(reps.select("rep", "sketch").mapInArrow(_unpack, "band int, h long, rep long"), "buckets")
+    buckets = saved(reps.select("rep", "n", "sketch").mapInArrow(_unpack, "band int, h long, rep long, n long"), "buckets")
     center = buckets.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a != z").drop("z")
     center = saved(center, "centers")  # a join of two tables can split a hot key
     shared = saved(buckets.join(center.hint("merge"), ["band", "h"]), "shared")
@@ -279,20 +281,28 @@ def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
     drop(pairs)
 
     place = ["band", "h"]
-    of = shared.join(joined.hint("merge"), shared.rep == joined.node, "left").select(*place, "rep", F.coalesce("component", "rep").alias("c"))
-    of = saved(of, "classed")
+    size = F.log("n") / math.log(1 / least)  # texts that align differ by one at most
+    bin_of = lambda x: F.floor(x / STEPS).cast("int")
+    of = shared.join(joined.hint("merge"), shared.rep == joined.node, "left")
+    of = saved(of.select(*place, "rep", F.coalesce("component", "rep").alias("c"), bin_of(size).alias("bin"), bin_of(size - 1.001).alias("low"), bin_of(size + 1.001).alias("high")), "classed")
     drop(shared)
-    main = of.groupBy(*place).agg(F.min_by("c", "rep").alias("main"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1")
-    main = saved(main.select(*place, "main", "n"), "mains")
-    mixed = saved(of.join(main.hint("merge"), place).withColumn("other", F.col("c") != F.col("main")), "mixed")
-    others = saved(mixed.where("other").groupBy(*place).agg(F.count("*").alias("others")), "others")
+    main = of.groupBy(*place).agg(F.min_by("c", "rep").alias("main"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1")
+    main = saved(main.select(*place, "main"), "mains")
+    mixed = saved(of.join(main.hint("merge"), place).withColumn("query", F.col("c") != F.col("main")), "mixed")
+    asking = mixed.where("query").withColumn("bin", F.explode(F.sequence("low", "high")))
+    xs = F.ceil(F.count("*") / QUERIES).cast("int")
+    longest = F.pow(F.lit(1 / least), (F.col("bin") + 1) * STEPS)
+    ys = F.ceil(F.count("*") * F.greatest(F.lit(1 / MEMBERS), F.least(longest / WORDS, F.lit(1.0)))).cast("int")
+    cells = asking.groupBy(*place, "bin").agg(xs.alias("xs")).join(mixed.groupBy(*place, "bin").agg(ys.alias("ys")).hint("merge"), [*place, "bin"])
+    cells = saved(cells, "cells")
     drop(of, main)
-    of = mixed.join(others.hint("merge"), place).withColumn("xs", F.ceil(F.col("others") / QUERIES).cast("int")).withColumn("ys", F.ceil(F.col("n") / MEMBERS).cast("int"))
     part = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), F.col(n)).cast("int")
-    member = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(F.lit(False).alias("query"), x.alias("x"), part("ys").alias("y")))
-    query = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: F.struct(F.lit(True).alias("query"), part("xs").alias("x"), y.alias("y")))
-    sent = of.withColumn("to", F.explode(F.concat(member, F.when(F.col("other"), query).otherwise(F.array().cast(MEETING))))).select(*place, "to.*", "rep", "c")
-    sent = sent.join(data.hint("merge"), "rep").repartition(*place, "x", "y").sortWithinPartitions(*place, "x", "y")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = cells.hint("merge")
+    members = mixed.join(cells, [*place, "bin"]).select(*place, "bin", every("xs").alias("x"), part("ys").alias("y"), F.lit(False).alias("query"), "rep", "c")
+    queries = asking.join(cells, [*place, "bin"]).select(*place, "bin", part("xs").alias("x"), every("ys").alias("y"), F.lit(True).alias("query"), "rep", "c")
+    sent = members.unionByName(queries).join(data.hint("merge"), "rep")
+    sent = sent.repartition(*place, "bin", "x", "y").sortWithinPartitions(*place, "bin", "x", "y")
     more = saved(sent.mapInArrow(partial(_meet, least), "a long, b long"), "links")
     if not more.isEmpty():
         first, joined = joined, saved(components(links.union(more)), "joined")
@@ -301,7 +311,7 @@ def classes(docs: DataFrame, least: float = LIKE) -> DataFrame:
     rows = light.groupBy("did", "k0", "k1", "n").agg(F.count("*").alias("rows"))
     out = rows.where("n > 0").join(known.hint("merge"), ["k0", "k1"]).select("did", "k0", "k1", "rows", "class_id")
     out = saved(out.union(rows.where("n = 0").select("did", "k0", "k1", "rows", F.col("did").alias("class_id"))), "classes")
-    drop(light, reps, data, links, more, joined, mixed, others)
+    drop(light, reps, data, links, more, joined, mixed)
     return out
 
 
