@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-K, S = 16, 9  # bytes in a k-mer and in its inner substrings
+K, S = 16, 5  # bytes in a k-mer and in its inner substrings: of random places 2 in 12 are anchors
 CHUNK = 4096  # bytes worked on at once
+FEW = 64
 ROWS, PARTS = 512, 128  # documents in a range at least; at most PARTS * PARTS ranges
 
 
@@ -23,7 +24,7 @@ def _low31(data: Column) -> Column:
 def _chunk(data: Column, start: Column) -> Column:
     """Anchors of one chunk: of each k-mer whose least inner hash stands first or last, its hash << 32 | position."""
     width = K - S + 1
-    assert width == 8
+    assert width == 12
 
     def least(h: Column, step: int, then) -> Column:  # at the end null stands in, which least() passes over
         return _let(F.transform(h, lambda x, i: F.least(x, F.get(h, i + step))), then)
@@ -33,7 +34,7 @@ def _chunk(data: Column, start: Column) -> Column:
         return F.transform(edge, lambda i: F.shiftleft(_low31(F.substring(data, i + 1, F.lit(K))), 32).bitwiseOR((start + i).cast("long")))
 
     def anchors(h: Column) -> Column:
-        return least(h, 1, lambda two: least(two, 2, lambda four: least(four, 4, lambda eight: picked(h, eight))))
+        return least(h, 1, lambda two: least(two, 2, lambda four: least(four, 4, lambda eight: least(eight, 4, lambda m: picked(h, m)))))
 
     hashes = F.transform(F.sequence(F.lit(1), F.length(data) - (S - 1)), lambda i: F.xxhash64(F.substring(data, i, F.lit(S))))
     return F.when(F.length(data) >= K, _let(hashes, anchors)).otherwise(F.array().cast("array<bigint>"))
@@ -61,21 +62,36 @@ def lowest(found: Column) -> Column:
 
 
 def text_of(sketch: Column) -> Column:
-    """Anchors as text: hash in hex, colon, byte position."""
-    return F.lower(F.array_join(F.transform(sketch, lambda x: F.concat(F.lpad(F.hex(F.shiftright(x, 32)), 8, "0"), F.lit(":"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("string"))), " "))
+    """Anchors as text: hexadecimal numbers, the last 8 digits of each the byte position, those before it the hash."""
+    return F.array_join(F.transform(sketch, lambda x: F.hex(x)), " ")
+
+
+def _hash_of(sketch: Column) -> Column:
+    return F.transform(sketch, lambda x: F.shiftright(x, 32))
+
+
+def firsts(sketch: Column) -> Column:
+    """Of equal hashes the first position; sketch is sorted as lowest() does."""
+
+    def kept(s: Column) -> Column:
+        first = F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(s, i - 1), 32)))
+        return F.when(F.size(F.array_distinct(_hash_of(s))) == F.size(s), s).otherwise(first)
+
+    return _let(sketch, kept)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the anchors of two texts that both have at one offset, the one that most agree on. Two empty ones: 1.
+    """Share of the hashes of two texts that both have at one offset, the one that most agree on. Two empty ones: 1.
 
-    Of equal hashes in a text only the first position counts. Both are sorted as lowest() does.
+    a and b as firsts() makes them. If at least half of the common hashes stand at the same place, no other offset
+    can have more; only else the offsets are counted: up to FEW common hashes are looked up one by one, more are put
+    side by side in one sorted array, with the same result.
     """
-    firsts = lambda s: F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.get(s, i - 1), 32)))
     place = lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF))
 
     def offsets(m: Column) -> Column:  # equal hashes stand side by side
-        both = F.transform(m, lambda x, i: F.when(F.shiftright(x, 32) == F.shiftright(F.get(m, i + 1), 32), place(F.get(m, i + 1)) - place(x)))
-        return F.sort_array(F.filter(both, lambda x: x.isNotNull()))
+        pairs = F.filter(F.transform(m, lambda x, i: F.when(F.shiftright(x, 32) == F.shiftright(F.get(m, i + 1), 32), place(F.get(m, i + 1)) - place(x))), lambda x: x.isNotNull())
+        return F.sort_array(pairs)
 
     def most(found: Column) -> Column:
         def step(s: Column, x: Column) -> Column:
@@ -84,11 +100,23 @@ def likeness(a: Column, b: Column) -> Column:
 
         return F.aggregate(found, F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best")), step, lambda s: s["best"])
 
-    def share(m: Column) -> Column:
-        return _let(offsets(m), lambda o: F.when(F.size(m) == 0, F.lit(1.0)).otherwise(most(o) / (F.size(m) - F.size(o))))
+    def looked_up(x: Column, y: Column, hx: Column, hy: Column, common: Column) -> Column:
+        at = lambda s, hs, h: place(F.get(s, (F.array_position(hs, h) - 1).cast("int")))
+        return F.sort_array(F.transform(common, lambda h: at(y, hy, h) - at(x, hx, h)))
+
+    def share(x: Column, y: Column, hx: Column, hy: Column, common: Column) -> Column:
+        both, same = F.size(common), F.size(F.array_intersect(x, y))
+        marked = F.transform(y, lambda v: v.bitwiseOR(F.lit(0x80000000)))
+        several = _let(F.sort_array(F.concat(x, marked)), lambda m: most(offsets(m)))
+        few = _let(looked_up(x, y, hx, hy, common), most)
+        every = F.size(x) + F.size(y) - both
+        agree = F.when(both == 0, 0).otherwise(_let(same, lambda n: F.when(2 * n >= both, n).when(both <= FEW, few).otherwise(several)))
+        return F.when(every == 0, F.lit(1.0)).otherwise(agree / every)
+
+    def compared(x: Column, y: Column) -> Column:
+        return _let(_hash_of(x), lambda hx: _let(_hash_of(y), lambda hy: _let(F.array_intersect(hx, hy), lambda c: share(x, y, hx, hy, c))))
 
-    marked = lambda y: F.transform(firsts(y), lambda v: v.bitwiseOR(F.lit(0x80000000)))
-    return _let(a, lambda x: _let(b, lambda y: _let(F.sort_array(F.concat(firsts(x), marked(y))), share)))
+    return _let(a, lambda x: _let(b, lambda y: compared(x, y)))
 
 
 def _ranged(docs: DataFrame, key: str) -> DataFrame:
@@ -124,7 +152,7 @@ def _ranged(docs: DataFrame, key: str) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs: doc_id (integer), text; other columns are ignored. One row for each row of docs.
 
-    Each text (null: empty) gets a fingerprint, all its anchors with their positions, by hash. So
+    Each text (null: empty) gets a fingerprint, all its anchors with their positions, by hash (see text_of()). So
     does its edited text: the last floor(n_chars/3) code points give way to the first as many (or all) of
     the next document in descending doc_id; after the last comes the first, and a lone document follows
     itself. Rows with one doc_id follow each other by text; a null doc_id comes last. An empty table
@@ -141,8 +169,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.select("bucket", "ghost", "doc_id", "text", "n_chars", keep.alias("keep"), head.alias("head"), anchors(F.col("text").cast("binary")).alias("found"))
     upto = lambda part: F.filter("found", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)) + K <= F.octet_length(part))
     d = d.select("bucket", "ghost", "doc_id", "text", "n_chars", "keep", "head", lowest(F.col("found")).alias("own"), upto("keep").alias("kept"), upto("head").alias("taken"))
+    d = d.withColumn("firsts", firsts(F.col("own")))
     ahead = lambda c: F.lead(c).over(order)
-    d = d.select("ghost", "doc_id", "n_chars", "keep", "own", "kept", ahead("head").alias("head"), ahead("taken").alias("taken"), ahead("own").alias("next")).where("not ghost")
+    d = d.select("ghost", "doc_id", "n_chars", "keep", "own", "firsts", "kept", ahead("head").alias("head"), ahead("taken").alias("taken"), ahead("firsts").alias("next")).where("not ghost")
     edited = F.concat("keep", "head").cast("binary")
     size = F.octet_length("keep")
     seam = F.greatest(size - (K - 1), F.lit(0))
@@ -151,7 +180,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     crossing = F.transform(F.filter(F.when(F.length("seam") >= K, anchors(F.col("seam"))).otherwise(F.array().cast("array<bigint>")), lambda x: (x.bitwiseAND(F.lit(0xFFFFFFFF)) + seam + K > size) & (x.bitwiseAND(F.lit(0xFFFFFFFF)) + seam < size)), lambda x: x + seam)
     merged = lowest(F.concat("kept", crossing, F.transform("taken", lambda x: x + size)))
     d = d.withColumn("changed", F.when(F.length("edited") >= K, merged).otherwise(anchors(F.col("edited"))))
-    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("own")).alias("fingerprint"), text_of(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+    return d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text_of(F.col("own")).alias("fingerprint"), text_of(F.col("changed")).alias("edited_fingerprint"), likeness(F.col("firsts"), firsts(F.col("changed"))).alias("near_edited"), likeness(F.col("firsts"), F.col("next")).alias("near_next"))
 
 
 def op8_closed_syncmers(spark, sf_dir: str) -> DataFrame:

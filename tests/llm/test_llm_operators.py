@@ -599,7 +599,7 @@ def test_all_anchors_and_their_places(spark, rng):
     every = {r.doc_id: r.a for r in d.select("doc_id", syncmers.anchors(F.col("text").cast("binary")).alias("a")).collect()}
     place = {}
     for i, t in rows:
-        assert out[i].fingerprint.split() == [f"{x >> 32:08x}:{x & 0xFFFFFFFF}" for x in sorted(every[i])] and len(every[i]) > len(t) / 6
+        assert out[i].fingerprint.split() == [f"{x:X}" for x in sorted(every[i])] and len(every[i]) > len(t) / 8
         place[i] = {x >> 32: x & 0xFFFFFFFF for x in sorted(every[i], reverse=True)}
     for i in (9, 8, 7, 6):
         a, b = place[i], place[i - 1]
@@ -608,6 +608,23 @@ def test_all_anchors_and_their_places(spark, rng):
     assert 0.4 < out[9].near_next < 0.6 and 0 < out[7].near_next < 0.05 and out[6].near_next == 0
 
 
+@pytest.mark.parametrize("few", [0, 64, 10**6])
+def test_likeness_is_the_plain_one(spark, rng, monkeypatch, few):
+    """Repeated hashes, one offset or several, many common hashes or few, empty texts; all ways give the same."""
+    monkeypatch.setattr(syncmers, "FEW", few)
+    rows = []
+    for _ in range(60):
+        a = [(rng.randint(0, rng.choice([5, 300])), i) for i in range(rng.randint(0, 150))]
+        cut, shift = rng.randint(0, 150), rng.choice([0, 0, 7, 40])
+        b = [(h if rng.random() < 0.8 else rng.randint(0, 300), i + shift * (i > cut)) for h, i in a] if rng.random() < 0.8 else [(rng.randint(0, 300), i) for i in range(20)]
+        rows.append(tuple(sorted(h << 32 | i for h, i in x) for x in (a, b)))
+    d = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    for r in d.select("a", "b", syncmers.likeness(syncmers.firsts(F.col("a")), syncmers.firsts(F.col("b"))).alias("x")).collect():
+        a, b = ({v >> 32: v & 0xFFFFFFFF for v in sorted(s, reverse=True)} for s in (r.a, r.b))
+        agree = Counter(b[h] - a[h] for h in a if h in b)
+        assert abs(r.x - (max(agree.values(), default=0) / len(a.keys() | b.keys()) if a or b else 1)) < 1e-9
+
+
 # ---- 10
 
 
