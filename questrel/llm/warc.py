@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path
+from .common import bounded_batches, new_path, passing, saved
 
 # The fields of an ARC record's header line by version of the format, and WARC's marks.
 ARC_FIELDS = {
@@ -23,7 +26,7 @@ ARC_NAMES = {
     "1": "URL IP-address Archive-date Content-type Archive-length",
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-WARC = b"WARC/1.1\r\n"
+WARC, MARK = b"WARC/1.1\r\n", b"WARC/1."
 END = "\r\n\r\n"
 SAME = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -43,29 +46,27 @@ def make_arc(records: list[tuple[str, bytes]], version: str = "1", date: str = "
     return bytes(out)
 
 
-def read_arc(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """(header fields, block) for each record of an ARC file. The version block names the fields.
+def read_arc(source: bytes | BinaryIO) -> Iterator[tuple[dict, bytes]]:
+    """(header fields, block) for each record of an ARC file, read as a stream. The version block names the fields.
 
     Lengths are as declared, so blocks may hold anything; a file that ends early or a header line with
     another number of fields raises ValueError. The version block itself is not returned.
     """
-    at, fields = 0, None
-    while at < len(data):
-        if data[at : at + 1] == b"\n":
-            at += 1
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
+    fields = None
+    while line := f.readline():
+        if line in (b"\n", b"\r\n"):
             continue
-        end = data.find(b"\n", at)
-        parts = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r").split(" ")
+        parts = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
         first = fields is None
         if first and not parts[0].startswith("filedesc:"):
             raise ValueError("an ARC file begins with its version block")
         if not first and len(parts) != len(fields):
             raise ValueError(f"{len(fields)} fields are declared, a header line has {len(parts)}")
         size = int(parts[-1])
-        block = data[end + 1 : end + 1 + size]
-        if end < 0 or len(block) < size:
+        block = f.read(size)
+        if not line.endswith(b"\n") or len(block) < size:
             raise ValueError("an ARC record is cut short")
-        at = end + 1 + size
         if first:
             fields = ARC_FIELDS[block.split(b" ", 1)[0].decode()]
         else:
@@ -80,8 +81,8 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return head + mark, payload
 
 
-def convert(fields: dict, block: bytes, refers: tuple[str, str] | None = None) -> bytes:
-    """One ARC record as a WARC record without the closing empty lines.
+def convert(fields: dict, block: bytes, refers: tuple[str, str] | None = None, number: str = "") -> bytes:
+    """One ARC record as a WARC record without the closing empty lines; its id is made from number too.
 
     A network document with an HTTP head becomes a response, another one a resource. With refers, the
     record id and URI of a record of equal payload, it becomes a revisit that keeps the head only.
@@ -94,7 +95,7 @@ def convert(fields: dict, block: bytes, refers: tuple[str, str] | None = None) -
         ("WARC-Type", kind),
         ("WARC-Target-URI", fields["url"]),
         ("WARC-Date", f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"),
-        ("WARC-Record-ID", f"<urn:uuid:{record_uuid(fields['url'], told, head)}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{record_uuid(fields['url'], told, number)}>"),
         ("WARC-IP-Address", fields["ip"]),
         ("WARC-Payload-Digest", f"sha1:{told}"),
         ("WARC-Block-Digest", f"sha1:{digest(body)}"),
@@ -105,26 +106,27 @@ def convert(fields: dict, block: bytes, refers: tuple[str, str] | None = None) -
     return WARC + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + body
 
 
-def record_uuid(url: str, told: str, head: bytes) -> uuid.UUID:
-    return uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {told} {hashlib.sha1(head).hexdigest()}")
+def record_uuid(url: str, told: str, number: str) -> uuid.UUID:
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{url} {told} {number}")
 
 
 def parse_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
-    """(headers in lower case, block) for each record; pieces: what stands between the version lines, in order.
+    """(headers in lower case, block) for each record; pieces: what stands between the marks WARC/1., in order, so
+    that each record begins with the rest of its version, 0 or 1.
 
-    A block that holds a version line comes in several pieces, which the declared length puts together.
+    A block that holds a mark comes in several pieces, which the declared length puts together.
     """
     held = b""
     for piece in pieces:
         if held:
-            held += WARC + piece
+            held += MARK + piece
         elif piece:
             held = piece
         else:
             continue
         head, mark, rest = held.partition(b"\r\n\r\n")
-        named = dict(line.split(b": ", 1) for line in head.split(b"\r\n") if b": " in line) if mark else {}
-        named = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in named.items()}
+        named = dict(line.split(b":", 1) for line in head.split(b"\r\n")[1:] if b":" in line) if mark else {}
+        named = {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, v in named.items()}
         if not mark or "content-length" not in named or len(rest) < (size := int(named["content-length"])):
             continue
         yield named, rest[:size]
@@ -138,7 +140,7 @@ def _head(row, size: int) -> bytes:
 
 
 def _to_warc(batches):
-    """(row, url, payload, first): each batch becomes an ARC file, version 1 or 2 in turn, and its records WARC records."""
+    """(row, url, payload, number, first): each batch becomes an ARC file, version 1 or 2 in turn, and its records WARC records."""
     for i, b in enumerate(batches):
         rows = b.to_pylist()
         blocks = [(r["url"] or "-", _head(r["row"], len(r["payload"])) + r["payload"]) for r in rows]
@@ -147,8 +149,8 @@ def _to_warc(batches):
             refers = None
             if not r["first"]:
                 url = re.sub(r"\s", "%20", r["refers_url"] or "-")
-                refers = f"<urn:uuid:{record_uuid(url, digest(r['payload']), _head(r['refers'], len(r['payload'])))}>", str(r["refers"])
-            out.append(convert(fields, block, refers))
+                refers = f"<urn:uuid:{record_uuid(url, digest(r['payload']), str(r['refers_number']))}>", str(r["refers"])
+            out.append(convert(fields, block, refers, str(r["number"])))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
@@ -157,17 +159,51 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Of rows with equal payloads of at least `least` bytes the one with the largest id is a response (so
     is a row that repeats it), the others revisit it; a null id is smaller than any. A null body is an
-    empty payload, a null URL "-". Other columns are ignored; an empty table gives no records.
-    The files are written by Spark's text writer with WARC's end of record as line separator.
+    empty payload, a null URL "-". Other columns are ignored; an empty table gives no records. Record ids
+    differ, for repeated rows too. What the join adds is a table of the digests that repeat: Spark broadcasts
+    it if it is small, and else joins so that a hot payload splits. The files are written by Spark's text writer with WARC's end of record as line separator.
     """
     bounded_batches(pages.sparkSession, 500)
     d = pages.select(F.col(id_col).alias("row"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).cast("binary").alias("payload"))
-    d = d.withColumn("sha", F.sha1("payload"))
-    best = d.groupBy("sha").agg(F.max("row").alias("refers"), F.max_by("url", "row").alias("refers_url"))
-    single = (F.octet_length("payload") < least) | F.col("row").eqNullSafe(F.col("refers"))
-    d = d.join(best, "sha").select("row", "url", "payload", "refers", "refers_url", single.alias("first"))
+    # a row's number is its place in the input, the same in both uses below
+    d = d.withColumn("sha", F.sha1("payload")).withColumn("number", F.monotonically_increasing_id())
+    latest = F.max_by(F.struct("row", "url", "number"), F.struct("row", "number")).alias("x")
+    best = d.groupBy("sha").agg(latest, F.count("*").alias("n")).where("n > 1")
+    best = saved(best.select("sha", F.col("x.row").alias("refers"), F.col("x.url").alias("refers_url"), F.col("x.number").alias("refers_number"), F.lit(True).alias("many")), "payloads")
+    single = F.col("many").isNull() | (F.octet_length("payload") < least) | F.col("row").eqNullSafe(F.col("refers"))
+    d = d.join(best, "sha", "left").select("row", "url", "number", "payload", "refers", "refers_url", "refers_number", single.alias("first"))
     d = d.coalesce(8 * pages.sparkSession.sparkContext.defaultParallelism)  # a file each, at least
-    d.mapInArrow(_to_warc, "value binary").select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    _write(d.mapInArrow(_to_warc, "value binary"), path, per_file)
+
+
+def _write(records: DataFrame, path: str, per_file: int) -> None:
+    records.select(F.col("value").cast("string")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+
+
+def _from_arc(batches):
+    for b in batches:
+        for name, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+            f = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+            out, size = [], 0
+            for i, (fields, block) in enumerate(read_arc(f)):
+                out.append(convert(fields, block, number=f"{name}:{i}"))
+                size += len(block)
+                if size > 16 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+
+def convert_arc(spark: SparkSession, source: str, path: str, per_file: int = 20_000) -> None:
+    """ARC files under source (.arc or, gzipped, .arc.gz) as WARC files under path, a record for each record.
+
+    A file is read by one task, unpacked as a stream; its packed bytes are held, which the format's custom of
+    100 MB a file bounds. A broken file is an error.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "content")
+    _write(files.mapInArrow(_from_arc, "value binary"), path, per_file)
 
 
 def _from_warc(batches):
@@ -184,11 +220,13 @@ def _from_warc(batches):
     for h, block in parse_warc(pieces()):
         head, payload = split_http(block)
         told = dict(x.lower().split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n") if ": " in x)
-        found = h["warc-payload-digest"].removeprefix("sha1:")
-        if h["warc-type"] != "revisit" and digest(payload) != found or digest(block) != h["warc-block-digest"].removeprefix("sha1:"):
-            raise ValueError(f"a record's bytes differ from its digest: {h['warc-record-id']}")
-        n = int(told["content-length"]) if h["warc-type"] == "revisit" else len(payload)
-        rows.append((told.get("x-row"), h["warc-target-uri"], h["warc-date"], h["warc-type"], n, found, h.get("x-refers-to-row"), None if h["warc-type"] == "revisit" else payload))
+        revisit = h.get("warc-type") == "revisit"
+        found, whole = (h.get(f"warc-{x}-digest", "") for x in ("payload", "block"))
+        if whole.startswith("sha1:") and digest(block) != whole[5:] or found.startswith("sha1:") and not revisit and "transfer-encoding" not in told and digest(payload) != found[5:]:
+            raise ValueError(f"a record's bytes differ from its digest: {h.get('warc-record-id')}")
+        n = int(told["content-length"]) if revisit and told.get("content-length", "").isdigit() else None if revisit else len(payload)
+        found = found.removeprefix("sha1:") or (None if revisit else digest(payload))
+        rows.append((told.get("x-row"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-type"), n, found, h.get("x-refers-to-row"), None if revisit else payload))
         size += len(payload)
         if len(rows) >= 1000 or size > 16 << 20:
             yield batch(rows)
@@ -200,15 +238,18 @@ def _from_warc(batches):
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the WARC files under path: row, uri, date, record_type, payload_bytes, payload_digest, refers, payload.
 
-    A gzipped file is read by one task as a stream of records; each digest is verified.
+    A file of version 1.0 or 1.1, gzipped or not, is read by one task as a stream of records. Each SHA-1 digest is
+    verified, of payloads unless they are transfer-encoded; a missing one is made. Records of any type come back,
+    those without an HTTP head with their whole block as payload; a revisit's length is null if it isn't told.
     """
     bounded_batches(spark)
-    lines = spark.read.schema("value string").option("lineSep", WARC.decode()).text(path).select(F.col("value").cast("binary"))
+    lines = spark.read.schema("value string").option("lineSep", MARK.decode()).text(path).select(F.col("value").cast("binary"))
     return lines.mapInArrow(_from_warc, "row string, uri string, date string, record_type string, payload_bytes long, payload_digest string, refers string, payload binary")
 
 
 def op4_warc_from_arc(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    passing(spark, path)
     d = read_warc(spark, path)
     return d.select(F.col("row").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast("long").alias("refers_to"))

@@ -1,6 +1,7 @@
 """Each operator against a plain version on small fixtures, with nulls, empty texts, repeated rows and odd columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import zlib
@@ -277,10 +278,10 @@ def test_arc(version):
     records = [("http://a/b c", b"HTTP/1.0 200 OK\r\n\r\nxx\nfiledesc://"), ("http://e", b""), ("", b"plain")]
     found = list(warc.read_arc(warc.make_arc(records, version)))
     assert [b for _, b in found] == [b for _, b in records] and [f["url"] for f, _ in found] == ["http://a/b%20c", "http://e", "-"]
-    named, block = next(warc.parse_warc(iter(warc.convert(*found[0]).split(warc.WARC))))
+    named, block = next(warc.parse_warc(iter(warc.convert(*found[0]).split(warc.MARK))))
     assert named["warc-type"] == "response" and named["warc-date"] == "2008-04-30T20:48:25Z" and block == records[0][1]
     assert named["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b"xx\nfiledesc://").digest()).decode()
-    assert next(warc.parse_warc(iter(warc.convert(*found[2]).split(warc.WARC))))[0]["warc-type"] == "resource"
+    assert next(warc.parse_warc(iter(warc.convert(*found[2]).split(warc.MARK))))[0]["warc-type"] == "resource"
     with pytest.raises(ValueError):
         list(warc.read_arc(warc.make_arc(records, version)[:-4]))
     with pytest.raises(ValueError):
@@ -303,6 +304,9 @@ def test_warc_round_trip(spark):
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else top[h or ""], data if first else None))
     got = [(None if r.row is None else int(r.row), r.payload_bytes, r.payload_digest, r.record_type, None if r.refers is None else int(r.refers), None if r.payload is None else bytes(r.payload)) for r in out]
     assert sorted(got, key=str) == sorted(want, key=str)
+    heads = [line for r in spark.read.text(path).collect() for line in r.value.split("\r\n")]
+    ids = [x for x in heads if x.startswith("WARC-Record-ID")]
+    assert len(set(ids)) == len(rows) and {x.split(": ")[1] for x in heads if x.startswith("WARC-Refers-To: ")} <= {x.split(": ")[1] for x in ids}
     path = common.new_path(spark, "warc")
     warc.write_warc(d, path, least=2)
     assert warc.read_warc(spark, path).where("record_type = 'revisit'").count() == 0
@@ -311,6 +315,25 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, path).count() == 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Files not written here: version 1.0, a warcinfo record, no digests, a revisit that tells no length; and ARC files."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0\r\n\xff"
+    head = lambda kind, uri, n: f"WARC/1.0\r\nWARC-Type:{kind}\r\n{uri}WARC-Date: 2010-01-01T00:00:00Z\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: {n}\r\n\r\n".encode()
+    data = head("warcinfo", "", 13) + b"software: x\r\n\r\n\r\n" + head("response", "WARC-Target-URI: http://a/\r\n", len(block)) + block + b"\r\n\r\n" + head("revisit", "", 19) + b"HTTP/1.1 200 OK\r\n\r\n\r\n\r\n"
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "x.warc").write_bytes(data)
+    got = [(r.record_type, r.uri, r.payload_bytes, r.payload and bytes(r.payload)) for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()]
+    assert got == [("warcinfo", None, 13, b"software: x\r\n"), ("response", "http://a/", 14, b"<p>WARC/1.0\r\n\xff"), ("revisit", None, None, None)]
+    records = [("http://a/b", block), ("http://e", b""), ("http://a/b", block)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.arc").write_bytes(warc.make_arc(records, "1"))
+    (tmp_path / "a" / "two.arc.gz").write_bytes(gzip.compress(warc.make_arc(records[:1], "2")) + gzip.compress(warc.make_arc(records, "2").split(b"\n", 3)[3][:0]))
+    warc.convert_arc(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/out")
+    out = warc.read_warc(spark, f"file://{tmp_path}/out").collect()
+    payload = block.split(b"\r\n\r\n", 1)[1]
+    assert Counter((r.uri, r.record_type, bytes(r.payload)) for r in out) == {("http://a/b", "response", payload): 3, ("http://e", "resource", b""): 1}
+
+
 # ---- 5
 
 
