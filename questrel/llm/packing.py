@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import zlib
@@ -12,6 +13,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,28 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 _LOADED: dict[str, tuple] = {}
 
 
+def _rules(path: str) -> tuple:
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    return d["normalizer"], d["pre_tokenizer"], d["post_processor"], d["model"]["type"], {k: v for k, v in d["model"].items() if k not in ("vocab", "merges")}
+
+
 def _tokenize(path: str, batches):
+    """By words, for tokenizers with the rules of the usual one (see below); any other encodes whole texts."""
+    if _rules(path) == _rules(tokenizer_path()):
+        yield from _tokenize_words(path, batches)
+        return
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    code = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
+    for b in batches:
+        ids = [array(code, [*tok.encode(t or "", add_special_tokens=False).ids, END]) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n", "ids"])
+
+
+def _tokenize_words(path: str, batches):
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -142,6 +165,40 @@ def _frequencies(vocab: int, batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([used, [-1, -2]])), pa.array(np.concatenate([counts[used], [docs, tokens]]))], ["term", "n"])
 
 
+def _routes(model, shards, batches):
+    """Adds to each document its route, the term that weighs most in it by BM25, and with shards its shard."""
+    idf, average = model.value
+    count = TaskContext.get().partitionId() * 7919
+    for b in batches:
+        routes = []
+        for n, row in zip(b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            terms, tf = np.unique(_ids(row, n), return_counts=True)
+            routes.append(terms[(idf[terms] * tf / (tf + K1 * (1 - B + B * n / average))).argmax()])
+        at = np.array(routes, np.int64)
+        if shards:
+            first, parts = (x[at] for x in shards.value)
+            at = first + (count + np.arange(len(at))) % parts
+            count += len(at)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], [*b.schema.names, "shard" if shards else "route"])
+
+
+def deal(sums: dict[int, int], vocab: int, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """By route its first shard and the number of its shards, and the number of all: routes of few tokens share a
+    shard of about `size`, one of more gets as many as it needs."""
+    first, parts = np.zeros(vocab, np.int64), np.ones(vocab, np.int64)
+    shards, room = 0, 0
+    for term, n in sorted(sums.items()):
+        if n > size:
+            first[term], parts[term] = shards, -(-n // size)
+            shards, room = shards + int(parts[term]), 0
+        else:
+            if n > room:
+                shards, room = shards + 1, size
+            first[term] = shards - 1
+            room -= n
+    return first, parts, shards
+
+
 class Index:
     """BM25's inverted index over the documents of one shard; counts and lengths come from all shards."""
 
@@ -263,8 +320,10 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     are one id long. An empty table gives an empty result.
 
     Document frequencies (one number for each id of the vocabulary), the number of documents and their mean
-    length are of all documents. Shards of about 2M ids are dealt out by a hash of doc_id, so a source or a
-    group of copies spreads over all; a shard's index and windows need its own documents only.
+    length are of all documents. Documents go to shards of about 2M ids by content, the term that weighs most
+    in them, so that neighbours tend to meet at any number of shards; a term with more tokens than a shard holds,
+    as of a group of copies, is dealt out over several in turn. A shard's index and windows need its own
+    documents only.
     """
     from tokenizers import Tokenizer
 
@@ -277,9 +336,12 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     df = np.zeros(vocab)
     df[list(counts)] = list(counts.values())
     model = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), max(1.0, tokens / max(1, n))))
-    shards = max(1, -(-tokens // SHARD))
-    d = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)))
-    d = d.repartition("shard").sortWithinPartitions("shard", "doc_id", F.crc32("ids"))
+    kind = "doc_id long, n long, ids binary"
+    sums = {r.route: r.n for r in rows.mapInArrow(partial(_routes, model, None), f"{kind}, route long").groupBy("route").agg(F.sum("n").alias("n")).collect()}  # vocab rows at most
+    first, parts, shards = deal(sums, vocab, SHARD)
+    dealt = spark.sparkContext.broadcast((first, parts))  # two numbers for each id of the vocabulary
+    d = rows.mapInArrow(partial(_routes, model, dealt), f"{kind}, shard long")
+    d = d.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", F.crc32("ids"))
     return d.select("shard", "doc_id", "n", "ids").mapInArrow(partial(_pack, model), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -379,6 +379,36 @@ def test_ids_are_the_tokenizers(rng):
         assert packing._ids(row, n).tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_other_tokenizers_encode_plainly(rng):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    tok, texts = Tokenizer.from_file(path), ["Two  Words, and\n\tmore <|x", "", "ÉTÉ it's", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
+    out = next(packing._tokenize(path, [batch]))
+    for t, n, row in zip(texts, out.column("n").to_pylist(), out.column("ids").to_pylist(), strict=True):
+        assert packing._ids(row, n).tolist() == tok.encode(t or "", add_special_tokens=False).ids + [1]
+
+
+def test_routes_are_dealt_by_size():
+    first, parts, n = packing.deal({3: 40, 5: 30, 6: 250, 9: 20, 11: 90}, 16, 100)
+    assert (first[[3, 5, 6, 9, 11]].tolist(), parts[[3, 5, 6, 9, 11]].tolist(), n) == ([0, 0, 1, 4, 5], [1, 1, 3, 1, 1], 6)
+    assert packing.deal({}, 4, 100)[2] == 0
+
+
+def test_neighbours_meet_in_a_shard(spark, rng, monkeypatch):
+    """Many shards: texts that share a rare word of their own stand in one window; copies spread over shards."""
+    monkeypatch.setattr(packing, "SHARD", 3000)
+    rows = [(i, " ".join(["topic" + "bcdfghjklm"[i % 10] * 3] * 6 + [f"w{rng.randint(0, 20)}" for _ in range(20)])) for i in range(200)] + [(None, "copy " * 50)] * 90
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert out[out.doc_id.isna()].sequence_id.map(lambda x: x >> 32).nunique() >= 2
+    where = out[out.doc_id.notna() & (out.start == 0)].set_index("doc_id").sequence_id.map(lambda x: x >> 32)
+    assert (out.sequence_id.map(lambda x: x >> 32).nunique()) >= 5
+    for k in range(10):
+        assert where[[i for i in range(200) if i % 10 == k]].value_counts().iloc[0] >= 16
+
+
 def test_neighbours_share_terms():
     d = [np.array([1, 2, 3, 4] * 5), np.array([50, 51, 52] * 5), np.array([1, 2, 3, 9] * 5), np.array([60, 61] * 5)]
     index = packing.Index(d, np.log1p(np.full(100, 3.0)), 15.0)
