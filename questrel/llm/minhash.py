@@ -192,7 +192,8 @@ def _verify(least, batches):
 
 def _meet(least, batches):
     """Blocks (sorted by place) of queries and members of one bucket. A query meets all members at once by their
-    folded counts; what may align enough is aligned. Yields a link for each query and other class at most."""
+    folded counts; what may align enough and isn't joined by the block's links yet is aligned. Yields the links that
+    join classes, in a block fewer than it has classes."""
     held: list = []
     place = None
     out: list = []
@@ -206,15 +207,22 @@ def _meet(least, batches):
         sizes = np.array([len(x) for x in data])
         counts = np.stack([folded(x).astype(np.int32) for x in data])
         of = np.array([r[2] for r in members])
+        up = {r[2]: r[2] for r in held}
+
+        def top(c):
+            while up[c] != c:
+                up[c] = c = up[up[c]]
+            return c
+
         for _, rep, own, raw in queries:
             x = np.frombuffer(raw, np.uint32)
             need = needed(len(x), sizes, least)
             may = np.flatnonzero((np.minimum(sizes, len(x)) >= need) & (of != own))
             may = may[np.minimum(counts[may], folded(x).astype(np.int32)).sum(1) >= need[may]]
-            seen = set()
             for k in may.tolist():
-                if of[k] not in seen and alike(x, data[k], least):
-                    seen.add(of[k])
+                p, q = top(own), top(members[k][2])
+                if p != q and alike(x, data[k], least):
+                    up[p] = q
                     out.append((rep, members[k][1]))
 
     def flush():
