@@ -77,12 +77,14 @@ def lookup(tokens: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def authenticate(requests: DataFrame, tokens: DataFrame, secret: bytes, header: str = "authorization") -> DataFrame:
-    """requests with verdict (ok, corrupt, bad_mac, unknown) and worker_id."""
+    """requests with verdict (ok, corrupt, bad_mac, unknown, invalid) and worker_id. A stored token is invalid if the
+    tokens have a column valid that isn't true for it."""
     d = requests.withColumn("_token", unmarshal(bearer_token(header)))
     d = d.withColumn("_id", id_of("_token")).withColumn("_ok", verify(tag_of("_token"), F.col("_id"), secret))
-    d = d.join(tokens.select(F.col("id").alias("_known"), F.col("worker_id").alias("_worker")), F.col("_id") == F.col("_known"), "left")
-    verdict = F.when(F.col("_token").isNull(), "corrupt").when(~F.col("_ok"), "bad_mac").when(F.col("_known").isNull(), "unknown").otherwise("ok")
-    return d.withColumn("verdict", verdict).withColumn("worker_id", F.when(F.col("verdict") == "ok", F.col("_worker"))).drop("_token", "_id", "_ok", "_known", "_worker")
+    valid = F.coalesce("valid", F.lit(False)) if "valid" in tokens.columns else F.lit(True)
+    d = d.join(tokens.select(F.col("id").alias("_known"), F.col("worker_id").alias("_worker"), valid.alias("_valid")), F.col("_id") == F.col("_known"), "left")
+    verdict = F.when(F.col("_token").isNull(), "corrupt").when(~F.col("_ok"), "bad_mac").when(F.col("_known").isNull(), "unknown").when(~F.col("_valid"), "invalid").otherwise("ok")
+    return d.withColumn("verdict", verdict).withColumn("worker_id", F.when(F.col("verdict") == "ok", F.col("_worker"))).drop("_token", "_id", "_ok", "_known", "_worker", "_valid")
 
 
 def empty(spark: SparkSession) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import naming as N
 from ..operators import admin, items, metrics, nassign, ratelimit, results, sessions, tokens
 from ..operators.dedup import BitmapDedup, TableDedup, last_by_key, offset_gaps
+from ..sources import logs
 from ..sources.versions import VersionedTable
 from ..streaming import assigner, pipelines
 
@@ -162,12 +163,14 @@ def items_lifecycle(spark, sf_dir):
 NATION_SQL = "nations AS (SELECT n_nationkey, n_nationkey AS position, 'yt.' || lower(n_name) AS name FROM nation)"
 
 
-@query(f"""WITH {NATION_SQL} SELECT position, name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) * CASE WHEN position < 3 THEN 1 ELSE 0 END AS item_count FROM nations""")
+@query(f"""WITH {NATION_SQL} SELECT position, name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS item_count FROM nations UNION ALL SELECT 25, 'yt.none', 0""")
 def collection_stats(spark, sf_dir):
-    """A nation is a collection; the first three have tables."""
+    """A nation is a collection, with its customers as items; one more collection has no table."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("position"), F.concat(F.lit("yt."), F.lower("n_name")).alias("name"))
+    names = {r.position: r.name.replace(".", "_", 1) + "_items" for r in n.collect()}  # a topology is configuration, and small
+    n = n.unionByName(spark.createDataFrame([(25, "yt.none")], n.schema))
     c = table(spark, sf_dir, "customer")
-    return items.collection_stats(n, {f"yt_nation_{i}_items": c.where(F.col("c_nationkey") == i) for i in range(3)})
+    return items.collection_stats(n, {t: c.where(F.col("c_nationkey") == i) for i, t in names.items()})
 
 
 # ---- assignment
@@ -209,9 +212,15 @@ def nassign_fold(spark, sf_dir):
     return nassign.nassign(_tasks(spark, sf_dir), _workers(spark, sf_dir, PLENTY), 5)[0]
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT o_orderstatus AS collection, o_orderkey AS "offset", o_custkey::VARCHAR AS item, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS s FROM orders),
+n AS (SELECT collection, count(*) AS n FROM t GROUP BY 1),
+r AS (SELECT collection, n, 0::BIGINT AS s, (SELECT list(s_suppkey ORDER BY s_suppkey) FROM supplier) AS line FROM n
+  UNION ALL SELECT collection, n, s + 1, list_concat(line[4:], list_sort(line[1:3])) FROM r WHERE s + 1 < n)
+SELECT collection, 0 AS partition, line[x + 1] AS worker, "offset", item, x::INTEGER AS replica FROM t JOIN r USING (collection, s) CROSS JOIN range(3) AS k(x)""")
 def nassign_uneven(spark, sf_dir):
-    """Three replicas for a number of workers that three doesn't divide; tested against a plain fold."""
+    """Three replicas for a number of workers that three doesn't divide: the first three of a line of workers, who go
+    to its end in order of id."""
     return nassign.nassign(_tasks(spark, sf_dir), _workers(spark, sf_dir, PLENTY), 3)[0]
 
 
@@ -402,6 +411,30 @@ def rate_limit(spark, sf_dir):
     return ratelimit.rate_limit(e, "user_id", "t", "x", "event_id", 2, 86400).select("user_id", "event_id", F.col("w0").cast("long").alias("w0"), F.col("w1").cast("long").alias("w1"), "scaled_ban")
 
 
+@query("""WITH c AS (SELECT event_type AS collection, count(DISTINCT event_id // 256) AS batches, count(*) AS results FROM events GROUP BY 1)
+SELECT 'questrel_forward_batches{collection="' || collection || '",partition="0"} ' || batches AS line FROM c UNION ALL SELECT 'questrel_forward_results{collection="' || collection || '",partition="0"} ' || results FROM c""")
+def metrics_exposition(spark, sf_dir):
+    """What forwarders in batches of 256 offsets have counted, as text for a scraper."""
+    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("collection"), F.lit(0).alias("partition"), F.expr("event_id div 256").alias("b")).agg(F.count("*").alias("results"))
+    return metrics.exposition(metrics.forward_metrics(e))
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT coalesce(min(exp_time), 0)::BIGINT AS next_expiry FROM sessions WHERE exp_time >= {NOW}")
+def next_expiry(spark, sf_dir):
+    return sessions.next_expiry(_sessions(spark, sf_dir).where(F.col("exp_time") >= NOW))
+
+
+@query("""SELECT 'yt.videos.tasks' AS topic, 3 AS partition, x AS "offset", 'item_' || (x - 50) AS key, 'yt.videos' AS collection, 'item_' || (x - 50) AS id FROM range(50, 1050) AS r(x)""")
+def synthetic_log(spark, sf_dir):
+    """A thousand messages made up, written as a log, read as a stream and decoded."""
+    path = _shared(spark)
+    logs.append_log(logs.generate(spark, "yt.videos.tasks", 1000, first=50, partition=3), f"{path}/log")
+    d = logs.decode(logs.stream_log(spark, f"{path}/log", 4), "collection string, id string")
+    d = d.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"), "collection", "id")
+    d.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(d.schema).parquet(f"{path}/out")
+
+
 @query(f"WITH {NATION_SQL} SELECT name, kind, name || '.' || kind AS topic FROM nations, (VALUES ('tasks'), ('discovered'), ('results')) AS k(kind)")
 def topic_names(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("yt."), F.lower("n_name")).alias("name"))
@@ -451,12 +484,19 @@ def _tokens(spark, sf_dir):
     return s.select(F.unhex(F.md5(F.col("s_name").cast("binary"))).alias("id"), F.col("s_suppkey").alias("worker_id"), F.lit("H").alias("description"))
 
 
-@query("""SELECT url, CASE WHEN length(url) <> 45 THEN 'length' WHEN NOT starts_with(url, 'H') THEN 'prefix' WHEN NOT regexp_full_match(url, '[A-Za-z0-9_-]*') THEN 'alphabet' ELSE 'form' END AS verdict, false AS valid FROM pages""")
+@query("""WITH texts AS (SELECT url AS text FROM pages UNION ALL
+  SELECT 'H' || replace(replace(rtrim(to_base64(unhex('0b' || md5(s_name) || md5(s_name))), '='), '+', '-'), '/', '_') FROM supplier UNION ALL
+  SELECT 'H' || replace(replace(rtrim(to_base64(unhex('0c' || md5(s_name) || md5(s_name))), '='), '+', '-'), '/', '_') FROM supplier)
+SELECT text, CASE WHEN length(text) <> 45 THEN 'length' WHEN NOT starts_with(text, 'H') THEN 'prefix' WHEN NOT regexp_full_match(text, '[A-Za-z0-9_-]*') THEN 'alphabet' ELSE 'form' END AS verdict,
+  text IN (SELECT 'H' || replace(replace(rtrim(to_base64(unhex('0b' || md5(s_name) || md5(s_name))), '='), '+', '-'), '/', '_') FROM supplier) AS valid FROM texts""")
 def token_verify_structure(spark, sf_dir):
-    """URLs taken for tokens, with what is wrong first."""
-    t = F.col("url")
+    """URLs taken for tokens, with what is wrong first; and texts of the right form, half of them of another first byte."""
+    name = F.md5(F.col("s_name").cast("binary"))
+    made = [table(spark, sf_dir, "supplier").select(tokens.marshal(F.unhex(F.concat(F.lit(b), name, name))).alias("text")) for b in ("0b", "0c")]
+    t = F.col("text")
     verdict = F.when(F.length(t) != tokens.TEXT_SIZE, "length").when(~t.startswith("H"), "prefix").when(~t.rlike(r"\A[A-Za-z0-9_-]*\z"), "alphabet").otherwise("form")
-    return table(spark, sf_dir, "pages").select("url", verdict.alias("verdict"), tokens.unmarshal("url").isNotNull().alias("valid"))
+    d = table(spark, sf_dir, "pages").select(F.col("url").alias("text")).unionByName(made[0]).unionByName(made[1])
+    return d.select("text", verdict.alias("verdict"), tokens.unmarshal("text").isNotNull().alias("valid"))
 
 
 @query()
@@ -471,7 +511,7 @@ def token_mac(spark, sf_dir):
 def token_auth_ladder(spark, sf_dir):
     """Customers come with suppliers' tokens: some cut, some with another tag, some of ids not stored."""
     t = _tokens(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").withColumn("worker", F.col("c_custkey") % t.count())
+    c = table(spark, sf_dir, "customer").join(F.broadcast(t.agg(F.count("*").alias("n")))).withColumn("worker", F.col("c_custkey") % F.col("n")).drop("n")  # one row
     c = c.join(t.select(F.col("id").alias("tid"), F.col("worker_id").alias("worker")), "worker")
     tid = F.when(F.col("c_nationkey") < 5, F.unhex(F.md5(F.concat(F.lit("no"), F.col("c_name")).cast("binary")))).otherwise(F.col("tid"))
     c = c.withColumn("tid", tid).withColumn("tag", tokens.sign("tid", SECRET))
@@ -487,6 +527,48 @@ def tokens_revoke(spark, sf_dir):
     return left.select("worker_id", F.lower(F.hex("id")).alias("id"))
 
 
+@query("SELECT s_suppkey AS worker, CASE WHEN s_suppkey % 3 = 0 THEN 'invalid' ELSE 'ok' END AS verdict, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey END AS worker_id FROM supplier")
+def token_invalid(spark, sf_dir):
+    """Every third supplier's token is stored, but marked as no longer valid."""
+    t = _tokens(spark, sf_dir).withColumn("valid", F.col("worker_id") % 3 != 0)
+    text = tokens.marshal(tokens.serialize(tokens.sign("id", SECRET), F.col("id")))
+    r = _tokens(spark, sf_dir).select(F.col("worker_id").alias("worker"), F.concat(F.lit("Bearer "), text).alias("authorization"))
+    return tokens.authenticate(r, t, SECRET).select("worker", "verdict", "worker_id")
+
+
+@query("""SELECT n AS name, s_suppkey AS worker_id, s_suppkey IS NOT NULL AS valid FROM (SELECT s_name AS n FROM supplier UNION ALL SELECT c_name FROM customer) LEFT JOIN supplier ON n = s_name""")
+def token_lookup(spark, sf_dir):
+    """Ids of suppliers, which are stored, and of customers, which are not."""
+    names = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name")).unionByName(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")))
+    ids = names.withColumn("id", F.unhex(F.md5(F.col("name").cast("binary"))))
+    return tokens.lookup(_tokens(spark, sf_dir), ids).select("name", "worker_id", "valid")
+
+
+@query("""SELECT rtrim(to_base64(unhex(md5(c_name))), '=') AS id, c_mktsegment AS description, right(c_name, 4) AS token_bit FROM customer WHERE c_nationkey = 3""")
+def tokens_listed(spark, sf_dir):
+    """Customers' tokens belong to their nation: those of one, with ids as text."""
+    c = table(spark, sf_dir, "customer")
+    none = F.lit(None).cast("timestamp")
+    t = c.select(F.unhex(F.md5(F.col("c_name").cast("binary"))).alias("id"), F.col("c_nationkey").cast("long").alias("worker_id"), none.alias("created_at"), none.alias("last_used_at"), F.expr("right(c_name, 4)").alias("token_bit"), F.col("c_mktsegment").alias("description"))
+    return tokens.listed(t, 3).select("id", "description", "token_bit")
+
+
+@query("""SELECT md5(s_name) AS id, s_suppkey AS worker_id, 'H' AS description FROM supplier UNION ALL SELECT '000102030405060708090a0b0c0d0e0f', 7, 'new'""")
+def tokens_created(spark, sf_dir):
+    """Suppliers' tokens and a new one of a given id."""
+    t = _tokens(spark, sf_dir).select("id", "worker_id", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("last_used_at"), F.lit("").alias("token_bit"), "description")
+    more, _ = tokens.create(t, 7, "new", SECRET, None, bytes(range(16)))
+    return more.select(F.lower(F.hex("id")).alias("id"), "worker_id", "description")
+
+
+@query("SELECT user_id AS id, event_id AS seq FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 64")
+def invalidation_log(spark, sf_dir):
+    """A log of 64 invalidations, to which the latter half of January is added."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), "ts")
+    old, new = (e.where(f"ts {x} timestamp_ntz'2024-01-16'").drop("ts") for x in ("<", ">="))
+    return tokens.add_invalidation(old, new, 64)
+
+
 @query("SELECT user_id AS id, max(event_id) AS event_id FROM events GROUP BY 1 HAVING max(epoch_us(ts) // 1000000) >= 1706486400 - 86400 ORDER BY max(epoch_us(ts) // 1000000) DESC, id LIMIT 64")
 def cache_ttl_lru(spark, sf_dir):
     """What a cache of 64 users holds that keeps them a day."""
@@ -526,7 +608,10 @@ def state_dump_json(spark, sf_dir):
 
 
 def _shared(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/questrel"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/questrel"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -555,6 +640,16 @@ def stream_results(spark, sf_dir):
     return store.read().select("item_id", "updates", F.col("last_update").cast("timestamp_ntz").alias("last_update"))
 
 
+@query("SELECT 'yt.videos' AS collection, user_id::VARCHAR AS id, event_id % 10 AS worker_id, (event_id % 3)::INTEGER AS status FROM events")
+def stream_forward(spark, sf_dir):
+    """Results of a stream leave projected, in one micro-batch."""
+    path = _shared(spark)
+    out = VersionedTable(spark, f"{path}/out", "locator struct<collection:string,id:string>, finish_time timestamp, worker_id long, status int")
+    r = _stream(spark, sf_dir, "events").select((F.col("event_id") % 10).alias("worker"), F.col("event_id").alias("offset"), F.col("user_id").cast("string").alias("item"), (F.col("event_id") % 3).cast("int").alias("status"), F.lit(0).cast("long").alias("exp_time"))
+    pipelines.forwarder(r, out, "yt.videos.results", F.timestamp_seconds(F.lit(NOW)), f"{path}/checkpoint").awaitTermination()
+    return out.read().select("locator.*", "worker_id", "status")
+
+
 @query("""
 WITH t AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS s FROM events)
 SELECT 'events' AS collection, 0 AS partition, (s * 2 + r) % 10 AS worker, event_id AS "offset", event_id::VARCHAR AS item, r::INTEGER AS replica FROM t, range(2) AS x(r)""")

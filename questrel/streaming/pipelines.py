@@ -38,6 +38,7 @@ def discovery(pointers: DataFrame, items: VersionedTable, tasks: VersionedTable,
         new, after = discover_batch(flat, known)
         tasks.write(task_messages(new, collection), batch_id)
         items.write(after, batch_id)
+        items.vacuum()
 
     return start(pointers, step, checkpoint, every)
 
@@ -47,6 +48,7 @@ def reporter(results: DataFrame, items: VersionedTable, checkpoint: str, every:
 
     def step(batch: DataFrame, batch_id: int) -> None:
         items.write(apply_results(items.read(before=batch_id), batch), batch_id)
+        items.vacuum()
 
     return start(results, step, checkpoint, every)
 
