@@ -304,7 +304,7 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     rows = saved(d.where(F.octet_length("text") >= LENGTH).select("did", "th", "text").mapInArrow(_emit, "did long, th long, h long, pd long, s int, n int"), "runs")
     twice = saved(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "twice")
     rows2 = saved(rows.join(twice, "h"), "runs")
-    drop(spark, rows)
+    drop(rows)
     kinds = saved(rows2.groupBy("h", "pd").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "s", "n")).alias("at")), "kinds")
     several = saved(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     meet = saved(kinds.join(several, "h"), "meet")
