@@ -751,15 +751,35 @@ def test_pipeline(spark, rng, tmp_path):
     spark.createDataFrame([(i, 1, int("idiotic" in t or "moronic" in t or "trashface" in t)) for i, t, _ in rows[:60]], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     d, names = spark.read.parquet(f"{sf}/documents.parquet"), [f.name for f in spark.read.parquet(f"{sf}/documents.parquet").schema]
     assert [n for n, _ in c.STAGES] == ["toxicity", "near_duplicates", "repeated_spans", "mixture", "packing"]
-    sizes = []
+    sizes, given = [], d
+    key = lambda r: (r.doc_id, r.text)
+    weights, bias = toxicity.train(d, spark.read.parquet(f"{sf}/labels.parquet")).value
     for name, stage in c.STAGES:
-        d = common.saved(stage(spark, d, sf), name)
+        given, d = d, common.saved(stage(spark, d, sf), name)
         sizes.append(d.count())
+        before, after = given.collect(), d.collect()
         if name != "packing":
             assert d.columns == names
-        if name == "near_duplicates":
-            texts = [r.text for r in d.collect() if r.text]
-            assert len(texts) == len(set(texts))
+        if name == "toxicity":
+            assert Counter(map(key, after)) == Counter(key(r) for r in before if plain_toxicity(r.text, weights, bias) < 0.5)
+        elif name == "near_duplicates":
+            known = {}
+            seqs = {r.doc_id: minhash.hashed(r.text, known).astype(np.uint32) for r in before}
+            links = [(i, j) for i in seqs for j in seqs if i < j and len(seqs[i]) and len(seqs[j]) and minhash.alike(seqs[i], seqs[j])]
+            top = least_reachable(list(seqs), links)
+            assert Counter(map(key, after)) == Counter(key(r) for r in before if top[r.doc_id] == r.doc_id)
+        elif name == "repeated_spans":
+            cut = plain_spans([(r.doc_id, r.text) for r in before])
+            assert {r.doc_id: r.text or "" for r in after} == cut
+        elif name == "mixture":
+            taken = {r.doc_id: r.copies for r in mixing.mix(given).collect()}
+            assert Counter(r.doc_id for r in after) == Counter({i: n for i, n in taken.items() if n})
+        else:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(packing.tokenizer_path())
+            rows = [(r.doc_id, r.text) for r in before]
+            check_pieces(d.toPandas(), rows, {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for i, t in rows})
     assert sizes[0] < 72 and sizes[1] < sizes[0] and sizes[2] == sizes[1]
     out = c.run(spark, sf).toPandas()
     assert len(out) == sizes[-1] and set(out.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
