@@ -21,10 +21,27 @@ def filter_new(ids: DataFrame, items: DataFrame, key: str = "item_id") -> DataFr
 
 def insert_ignore(items: DataFrame, pointers: DataFrame, key: str = "item_id", time: str = "timestamp", arrival: str = "seq") -> DataFrame:
     """Adds pointers whose key is new, the first that arrived; found_t is its time. Known items stay."""
+    return items.unionByName(new_rows(items, pointers, key, time, arrival).join(items.select("item_id"), "item_id", "left_anti"))
+
+
+def new_rows(items: DataFrame, pointers: DataFrame, key: str = "item_id", time: str = "timestamp", arrival: str = "seq") -> DataFrame:
+    """Pointers as rows for the items, one a key, in the types of that table, which isn't read."""
     kind = items.schema["item_id"].dataType
     first = pointers.groupBy(F.col(key).cast(kind).alias("item_id")).agg(F.min_by(time, arrival).alias("found_t"))
-    new = first.join(items.select("item_id"), "item_id", "left_anti")
-    return items.unionByName(new.select("item_id", F.col("found_t").cast(items.schema["found_t"].dataType), F.lit(None).cast(items.schema["last_update"].dataType).alias("last_update"), F.lit(0).cast("long").alias("updates")))
+    return first.select("item_id", F.col("found_t").cast(items.schema["found_t"].dataType), F.lit(None).cast(items.schema["last_update"].dataType).alias("last_update"), F.lit(0).cast("long").alias("updates"))
+
+
+def result_rows(results: DataFrame, key: str = "item_id", time: str = "finish_time", arrival: str = "seq", key_type: str = "string") -> DataFrame:
+    """What results change in the items: the first one's time, the last one's, and how many; see merged()."""
+    batch = results.groupBy(F.col(key).cast(key_type).alias("item_id")).agg(F.min_by(time, arrival).alias("found_t"), F.max_by(time, arrival).alias("last_update"), F.count("*").alias("updates"))
+    return batch.select("item_id", F.col("found_t").cast("timestamp"), F.col("last_update").cast("timestamp"), "updates")
+
+
+def merged(changes: DataFrame) -> DataFrame:
+    """Items from their changes (and `at`, their order): the first found_t, the last last_update, all updates."""
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("at"))  # noqa: E731  by these, nulls count never
+    d = changes.groupBy("item_id").agg(F.min_by("found_t", known("found_t")).alias("found_t"), F.max_by("last_update", known("last_update")).alias("last_update"), F.sum("updates").alias("updates"))
+    return d.select("item_id", "found_t", "last_update", "updates")
 
 
 def apply_results(items: DataFrame, results: DataFrame, key: str = "item_id", time: str = "finish_time", arrival: str = "seq") -> DataFrame:

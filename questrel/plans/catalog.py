@@ -18,7 +18,7 @@ from ..functions import naming as N
 from ..operators import admin, items, metrics, nassign, ratelimit, results, sessions, tokens
 from ..operators.dedup import BitmapDedup, TableDedup, last_by_key, offset_gaps
 from ..sources import logs
-from ..sources.versions import VersionedTable
+from ..sources.versions import ChangedTable, VersionedTable
 from ..streaming import assigner, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,7 +625,7 @@ def stream_discover(spark, sf_dir):
     """All orders in one micro-batch: the tasks of new items come with their last pointers."""
     path = _shared(spark)
     schema = "item_id string, found_t timestamp, last_update timestamp, updates long"
-    store, tasks = VersionedTable(spark, f"{path}/items", schema), VersionedTable(spark, f"{path}/tasks", "topic string, key binary, value binary")
+    store, tasks = ChangedTable(spark, f"{path}/items", schema, items.merged), VersionedTable(spark, f"{path}/tasks", "topic string, key binary, value binary")
     p = _stream(spark, sf_dir, "orders").select(F.struct(F.col("o_orderstatus").alias("collection"), F.col("o_custkey").cast("string").alias("id")).alias("dst"), F.timestamp_seconds(F.col("o_orderkey")).alias("timestamp"), F.col("o_orderkey").alias("seq"))
     pipelines.discovery(p, store, tasks, "orders", f"{path}/checkpoint").awaitTermination()
     return tasks.read().select(F.col("key").cast("string").alias("id")).join(store.read().select(F.col("item_id").alias("id"), F.unix_timestamp("found_t").alias("seq")), "id")
@@ -634,7 +634,7 @@ def stream_discover(spark, sf_dir):
 @query("SELECT user_id::VARCHAR AS item_id, count(*)::BIGINT AS updates, arg_max(ts, event_id) AS last_update FROM events GROUP BY 1")
 def stream_results(spark, sf_dir):
     path = _shared(spark)
-    store = VersionedTable(spark, f"{path}/items", "item_id string, found_t timestamp, last_update timestamp, updates long")
+    store = ChangedTable(spark, f"{path}/items", "item_id string, found_t timestamp, last_update timestamp, updates long", items.merged)
     r = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("item_id"), F.col("ts").cast("timestamp").alias("finish_time"), F.col("event_id").alias("seq"))
     pipelines.reporter(r, store, f"{path}/checkpoint").awaitTermination()
     return store.read().select("item_id", "updates", F.col("last_update").cast("timestamp_ntz").alias("last_update"))

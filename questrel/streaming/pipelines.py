@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import TableDedup
-from ..operators.items import apply_results, insert_ignore
+from ..operators.items import new_rows, result_rows
 from ..operators.results import forward, task_messages
-from ..sources.versions import VersionedTable
+from ..sources.versions import ChangedTable, VersionedTable
 
 
 def start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -22,33 +22,37 @@ def start(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
 
 
 def discover_batch(pointers: DataFrame, items: DataFrame, key: str = "id", time: str = "timestamp", arrival: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """(new, items): the batch's new pointers, the last of each key, and the items with them, each found at the
-    time of that pointer."""
+    """(new, rows): the batch's new pointers, the last of each key, and the rows that they add to the items, each
+    found at the time of that pointer."""
     new = TableDedup(items).filter(pointers, key, arrival)
-    return new, insert_ignore(items, new, key=key, time=time, arrival=arrival)
+    return new, new_rows(items, new, key, time, arrival)
 
 
-def discovery(pointers: DataFrame, items: VersionedTable, tasks: VersionedTable, collection: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def discovery(pointers: DataFrame, items: ChangedTable, tasks: VersionedTable, collection: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """New pointers of a stream (dst, timestamp, seq) enter the items, and their tasks the tasks' version of the
-    batch. Tasks are written before the items, so a batch that stops in between is repeated whole."""
+    batch. Tasks are written before the items, so a batch that stops in between is repeated whole. A batch reads the
+    items' keys and writes its new ones."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = items.read(before=batch_id)
         flat = batch.select(F.col("dst.id").alias("id"), "dst", "timestamp", "seq")
-        new, after = discover_batch(flat, known)
-        tasks.write(task_messages(new, collection), batch_id)
-        items.write(after, batch_id)
-        items.vacuum()
+        new, rows = discover_batch(flat.persist(), items.changes(before=batch_id))
+        try:
+            tasks.write(task_messages(new, collection), batch_id)
+            items.write(rows, batch_id)
+        finally:
+            flat.unpersist()
+        items.compact(batch_id)
 
     return start(pointers, step, checkpoint, every)
 
 
-def reporter(results: DataFrame, items: VersionedTable, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Results of a stream (item_id, finish_time, seq) are added up in the items."""
+def reporter(results: DataFrame, items: ChangedTable, checkpoint: str, every: str | None = None, key_type: str = "string") -> StreamingQuery:
+    """Results of a stream (item_id, finish_time, seq) are added up in the items. A batch writes its own sums and reads
+    no items."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        items.write(apply_results(items.read(before=batch_id), batch), batch_id)
-        items.vacuum()
+        items.write(result_rows(batch, key_type=key_type), batch_id)
+        items.compact(batch_id)
 
     return start(results, step, checkpoint, every)
 

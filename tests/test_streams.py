@@ -3,10 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from questrel.operators.items import apply_results
+from questrel.operators.items import apply_results, insert_ignore, merged, new_rows, result_rows
 from questrel.operators.nassign import ShardState, assign
 from questrel.sources import logs
-from questrel.sources.versions import VersionedTable
+from questrel.sources.versions import ChangedTable, VersionedTable
 from questrel.streaming import assigner, pipelines
 
 ITEMS = "item_id string, found_t timestamp, last_update timestamp, updates long"
@@ -36,11 +36,39 @@ def test_versions(spark, tmp_path):
     assert t.versions() == [1]
 
 
+def test_changes_cost_as_much_as_their_batch(spark, tmp_path):
+    rng = random.Random(5)
+    at = lambda rows, name: spark.createDataFrame(rows, "item_id string, t long, seq long").select("item_id", F.timestamp_seconds("t").alias(name), "seq")
+    items, plain = ChangedTable(spark, f"file://{tmp_path}/items", ITEMS, merged, 3), spark.createDataFrame([], ITEMS)
+    assert items.read().count() == 0 and items.live() == []
+    for v in range(11):
+        rows = [(str(rng.randint(0, 20)), rng.choice([None, *range(9)]), 4 * v + i) for i in range(4)]
+        if v % 2:
+            d = at(rows, "timestamp")
+            before = items.changes(before=v)
+            add = new_rows(before, d).join(before.select("item_id"), "item_id", "left_anti")
+            plain = insert_ignore(plain, d)
+        else:
+            d = at(rows, "finish_time")
+            add, plain = result_rows(d), apply_results(plain, d)
+        plain = spark.createDataFrame(plain.collect(), ITEMS)
+        items.write(add, v)
+        items.write(add.limit(0), v)  # the batch again: no effect
+        assert spark.read.parquet(f"file://{tmp_path}/items/at={v}/upto={v}").count() <= 4
+        items.compact(v)
+        items.compact(v)
+        assert items.live()[-1] == (v, v) and len(items.live()) <= 3 * 3
+        assert sorted(map(str, items.read().collect())) == sorted(map(str, plain.collect()))
+    assert items.live() == [(0, 8), (9, 9), (10, 10)]
+    items.write(add.limit(0), 4)  # within a merged folder
+    assert (4, 4) not in items.parts()
+
+
 def test_discovery_over_batches(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     batches = [[("1", 3, 0), ("2", 3, 1)], [("2", 5, 2), ("3", 9, 3), ("3", 10, 4)]]
     schema = "dst struct<collection:string,id:string>, timestamp timestamp, seq long"
-    items, tasks = VersionedTable(spark, f"file://{tmp_path}/items", ITEMS), VersionedTable(spark, f"file://{tmp_path}/tasks", "topic string, key binary, value binary")
+    items, tasks = ChangedTable(spark, f"file://{tmp_path}/items", ITEMS, merged), VersionedTable(spark, f"file://{tmp_path}/tasks", "topic string, key binary, value binary")
     for b in batches:
         d = spark.createDataFrame([(("c", i), t, s) for i, t, s in b], "dst struct<collection:string,id:string>, t long, seq long")
         d.select("dst", F.timestamp_seconds("t").alias("timestamp"), "seq").coalesce(1).write.mode("append").parquet(src)
@@ -54,7 +82,7 @@ def test_results_stream_equals_batch(spark, tmp_path):
     rng = random.Random(2)
     every = [(str(rng.randint(0, 5)), rng.randint(0, 99), i) for i in range(60)]
     raw = spark.createDataFrame(every, "item_id string, t long, seq long").select("item_id", F.timestamp_seconds("t").alias("finish_time"), "seq")
-    src, store = f"file://{tmp_path}/in", VersionedTable(spark, f"file://{tmp_path}/items", ITEMS)
+    src, store = f"file://{tmp_path}/in", ChangedTable(spark, f"file://{tmp_path}/items", ITEMS, merged, 2)
     for lo in range(0, 60, 20):
         raw.where(f"seq >= {lo} and seq < {lo + 20}").coalesce(1).write.mode("append").parquet(src)
         pipelines.reporter(spark.readStream.schema(raw.schema).parquet(src), store, f"file://{tmp_path}/cp").awaitTermination()
