@@ -101,6 +101,8 @@ def _fold(n: int, compat: str, batches):
                         raise ValueError(f"offsets must rise: {row[3]} after {previous}")
                     previous = row[3]
                     offset, item = row[3], row[4]
+                    if row[5]:
+                        state.placed[offset] = [-1] * row[5]
                     row = next(source, None)
                     yield offset, item
 
@@ -131,15 +133,16 @@ def nassign(tasks: DataFrame, workers: DataFrame, n: int = 3, compat: str = "int
     """Assignments (collection, partition, worker, offset, item, replica) and a status row for each shard
     (collection, partition, code, progress, assigns).
 
-    tasks: collection, partition, offset, item. workers: collection, partition, worker, quota, and last_offset
-    if known. The fold is sequential within a shard, as its definition is; shards run in parallel, each as a
+    tasks: collection, partition, offset, item, and placed, the replicas that an earlier fold placed of it, if known.
+    workers: collection, partition, worker, quota, and last_offset if known. The fold is sequential within a shard, as its definition is; shards run in parallel, each as a
     stream of sorted rows, so memory holds a shard's workers and not its tasks.
     """
     if compat not in ("intended", "as_written"):
         raise ValueError(compat)
     last = F.coalesce("last_offset", F.lit(-1)) if "last_offset" in workers.columns else F.lit(-1)
     w = workers.select("collection", "partition", F.lit(0).alias("kind"), last.cast("long").alias("offset"), F.lit(None).cast("string").alias("item"), F.col("worker").cast("long").alias("worker"), F.col("quota").cast("long").alias("quota"))
-    t = tasks.select("collection", "partition", F.lit(1).alias("kind"), F.col("offset").cast("long"), F.col("item").cast("string"), F.lit(None).cast("long").alias("worker"), F.lit(None).cast("long").alias("quota"))
+    placed = F.col("placed") if "placed" in tasks.columns else F.lit(None)
+    t = tasks.select("collection", "partition", F.lit(1).alias("kind"), F.col("offset").cast("long"), F.col("item").cast("string"), placed.cast("long").alias("worker"), F.lit(None).cast("long").alias("quota"))
     both = w.unionByName(t).withColumn("partition", F.col("partition").cast("int"))
     schema = "collection string, partition int, worker long, offset long, item string, replica int, code string, progress long, assigns long"
     out = both.repartition("collection", "partition").sortWithinPartitions("collection", "partition", "kind", "offset").mapInArrow(partial(_fold, n, compat), schema)

@@ -118,6 +118,20 @@ def deliver(queue: DataFrame, sessions: DataFrame, batch: int = 1024) -> DataFra
     return q.select("worker", "session", "offset", item.alias("item"), "exp_time")
 
 
+def commit_delivery(queue: DataFrame, sessions: DataFrame, quotas: DataFrame, delivered: DataFrame, now: int, timeout: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What deliver() changes: (queue, sessions, quotas). Delivered rows are marked so (column delivered), their
+    sessions live on until now + timeout, and lose as much quota; a quota of 0 or less goes."""
+    key = ["worker", "session"]
+    taken = delivered.groupBy(*key).agg(F.count("*").alias("_n"))
+    rows = delivered.select("worker", "offset").distinct().withColumn("_now", F.lit(True))
+    was = F.coalesce("delivered", F.lit(False)) if "delivered" in queue.columns else F.lit(False)
+    q = queue.withColumn("delivered", was).join(rows, ["worker", "offset"], "left")
+    q = q.withColumn("delivered", F.col("delivered") | F.coalesce("_now", F.lit(False))).select(*queue.columns, *["delivered"] * ("delivered" not in queue.columns))
+    s = sessions.join(taken, key, "left").withColumn("exp_time", F.when(F.col("_n").isNotNull(), now + timeout).otherwise(F.col("exp_time")).cast("long")).select(*sessions.columns)
+    left = quotas.join(taken, key, "left").withColumn("quota", F.col("quota") - F.coalesce("_n", F.lit(0))).where("quota > 0")
+    return q, s, left.select(*quotas.columns)
+
+
 def batches(delivered: DataFrame, partition: int = 0) -> DataFrame:
     """Delivered rows as one row a session, for a sink that pushes to workers."""
     one = F.struct("offset", "item", F.lit(partition).alias("partition"))

@@ -330,6 +330,32 @@ def deliver_batch(spark, sf_dir):
     return sessions.deliver(_queue(spark, sf_dir), _granted(spark, sf_dir)[0])
 
 
+DELIVERED_SQL = f"""{GRANTS_SQL}, {QUEUE_SQL}, q AS (SELECT worker, session, sum(n)::BIGINT AS quota, least(sum(n), 2) AS size FROM grants SEMI JOIN sessions USING (worker, session) WHERE n > 0 GROUP BY 1, 2),
+r AS (SELECT *, sum(size) OVER (PARTITION BY worker ORDER BY session ROWS UNBOUNDED PRECEDING) AS upto FROM q), p AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY "offset") - 1 AS place FROM queue),
+given AS (SELECT p.worker, session, "offset" FROM p JOIN r ON p.worker = r.worker AND place < upto AND place >= upto - size), taken AS (SELECT worker, session, count(*)::BIGINT AS n FROM given GROUP BY 1, 2)"""
+
+
+def _delivered(spark, sf_dir):
+    """What a delivery of two rows a session at most changes."""
+    queue, quotas, s = _queue(spark, sf_dir), _granted(spark, sf_dir)[0], _sessions(spark, sf_dir)
+    return sessions.commit_delivery(queue, s, quotas, sessions.deliver(queue, quotas, 2), NOW, 300)
+
+
+@query(f'WITH {DELIVERED_SQL} SELECT worker, "offset", given.session IS NOT NULL AS delivered FROM queue LEFT JOIN given USING (worker, "offset")')
+def deliver_marks(spark, sf_dir):
+    return _delivered(spark, sf_dir)[0].select("worker", "offset", "delivered")
+
+
+@query(f"WITH {DELIVERED_SQL} SELECT worker, session, CASE WHEN n IS NULL THEN exp_time ELSE {NOW + 300} END::BIGINT AS exp_time FROM sessions LEFT JOIN taken USING (worker, session)")
+def deliver_extends(spark, sf_dir):
+    return _delivered(spark, sf_dir)[1].select("worker", "session", "exp_time")
+
+
+@query(f"WITH {DELIVERED_SQL} SELECT worker, session, quota - coalesce(n, 0) AS quota FROM q LEFT JOIN taken USING (worker, session) WHERE quota > coalesce(n, 0)")
+def deliver_quota_left(spark, sf_dir):
+    return _delivered(spark, sf_dir)[2]
+
+
 # ---- results
 
 

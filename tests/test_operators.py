@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from questrel.functions import naming as N
+from questrel.model import CollectionConfig
 from questrel.operators import admin, items, metrics, nassign, ratelimit, results, sessions, tokens
 from questrel.operators.dedup import BitmapDedup, TableDedup
+from questrel.plans.loop import Shard
 
 ITEMS = "item_id long, found_t long, last_update long, updates long"
 
@@ -149,6 +151,63 @@ def test_quotas(spark):
     assert rows(q) == [(1, 1, 0)] and rows(removed) == [(1, 1, 7)]
 
 
+def test_delivery_changes_state(spark):
+    queue = spark.createDataFrame([(1, i, f"item_{i}", 1000, i == 3) for i in range(3, 9)], "worker long, offset long, item string, exp_time long, delivered boolean")
+    s = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (1, 3, 70)], "worker long, session long, exp_time long")
+    quotas = spark.createDataFrame([(1, 1, 2), (1, 2, 9)], "worker long, session long, quota long")
+    given = sessions.deliver(queue, quotas)
+    q, live, left = sessions.commit_delivery(queue, s, quotas, given, 100, 300)
+    assert sorted(rows(live)) == [(1, 1, 400), (1, 2, 400), (1, 3, 70)] and rows(left) == [(1, 2, 6)]
+    assert q.columns == queue.columns and q.where("not delivered").count() == 0 and q.count() == 6
+    assert sessions.deliver(q, left).count() == 0
+    bare, _, _ = sessions.commit_delivery(queue.drop("delivered"), s, quotas, given.limit(0), 100)
+    assert bare.where("not delivered").count() == 6
+
+
+def test_the_loop_from_grant_to_result(spark):
+    made = lambda data, kinds: spark.createDataFrame(data, kinds)
+    keep = lambda d, _: made(d.collect(), d.schema)
+    one = made([(1, 1)], "worker long, session long")
+    shard = Shard.empty(spark, CollectionConfig("test", task_assignments=1))
+    assert rows(shard.deliver(one, 0)[2]) == [(1, 1)]  # not found
+    shard, opened = shard.open(made([(1, 0, 0)], "worker long, time long, seq long"))
+    assert rows(opened) == [(1, 1, 300)]
+    shard, granted, rejected = shard.grant(made([(1, 1, 5)], "worker long, session long, n long"))
+    assert rows(granted) == [(1, 1, 5, 5)] and rows(rejected) == []
+    assert rows(sessions.pending(shard.quotas, made([(1, 1), (1, 9999)], "worker long, session long")), "session") == [(1, 1, 5), (1, 9999, 0)]
+    tasks = made([(128 + i, f"item_{i}") for i in range(16)], "offset long, item string")
+    shard, status = shard.assign(tasks, 0)
+    assert rows(status) == [("test", 0, "NO_WORKERS", 132, 5)]
+    shard = shard.kept(keep)
+    again, status = shard.assign(tasks, 0)
+    assert rows(status.select("code", "progress", "assigns")) == [("NO_WORKERS", 132, 0)] and again.queue.count() == 5
+    shard, given, unknown = shard.deliver(one, 10)
+    assert rows(unknown) == []
+    assert rows(given.select("offset"), "offset") == [(o,) for o in range(128, 133)]
+    assert rows(shard.sessions) == [(1, 1, 310)] and rows(shard.quotas) == []
+    shard, done = shard.kept(keep).ack(made([(1, 128 + i, i % 2, i) for i in range(4)], "worker long, offset long, status int, seq long"))
+    assert rows(done.select("offset", "item", "status"), "offset") == [(128 + i, f"item_{i}", i % 2) for i in range(4)]
+    assert rows(shard.queue.select("offset", "item")) == [(132, "item_4")]
+    assert shard.expire(60)[1].count() == 0 and rows(shard.expire(61)[1].select("offset", "status")) == [(132, 2)]
+    shard, dead = shard.close(one)
+    assert rows(dead.select("offset", "item", "status")) == [(132, "item_4", 2)] and shard.queue.count() == 0
+
+
+def test_replicas_placed_before_count(spark):
+    made = lambda data, kinds: spark.createDataFrame(data, kinds)
+    shard = Shard.empty(spark, CollectionConfig("test", task_assignments=3))
+    shard, _ = shard.open(made([(w, 0, 0) for w in (1, 2, 3, 4)], "worker long, time long, seq long"))
+    shard, *_ = shard.grant(made([(1, 1, 1), (2, 1, 1)], "worker long, session long, n long"))
+    tasks = made([(7, "a"), (8, "b")], "offset long, item string")
+    shard, status = shard.assign(tasks, 0)
+    assert rows(status.select("code", "progress", "assigns")) == [("NO_WORKERS", None, 2)]
+    shard = shard.kept(lambda d, _: made(d.collect(), d.schema))
+    shard, *_ = shard.grant(made([(3, 1, 1), (4, 1, 1)], "worker long, session long, n long"))
+    shard, status = shard.assign(tasks, 0)
+    assert rows(status.select("code", "progress", "assigns")) == [("NO_WORKERS", 7, 2)]
+    assert sorted(rows(shard.queue.select("offset", "worker"))) == [(7, 1), (7, 2), (7, 3), (8, 4)] and rows(shard.placed) == [(8, 1)]
+
+
 def test_delivery_and_ack(spark):
     queue = spark.createDataFrame([(1, 128 + i, f"item_{i}", 1000) for i in range(5)], "worker long, offset long, item string, exp_time long")
     s = spark.createDataFrame([(1, 1, 2), (1, 2, 9)], "worker long, session long, quota long")
