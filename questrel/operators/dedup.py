@@ -63,6 +63,13 @@ def number_key(key: str | Column) -> Column:
     return F.when(ok, n).otherwise(F.raise_error(F.concat(F.lit('item is not a number: "'), F.coalesce(c.cast("string"), F.lit("null")), F.lit('"'))))
 
 
+def small_key(key: str | Column) -> Column:
+    """number_key() as a long, for keys below 2**63; most take the short way, the rest number_key()'s."""
+    c = F.col(key) if isinstance(key, str) else key
+    short = F.when(c.cast("string").rlike(r"\A[0-9]{1,18}\z"), c.cast("long"))
+    return F.coalesce(short, number_key(c).cast("long"))
+
+
 class BitmapDedup:
     """Against an exact set of numbers, held as bits of buckets of 2**exp.
 
@@ -79,8 +86,9 @@ class BitmapDedup:
     def empty(cls, spark, exp: int = 10) -> BitmapDedup:
         return cls(spark.createDataFrame([], "bucket long, bits binary"), exp)
 
-    def place(self, key: str | Column) -> tuple[Column, Column]:
-        n = number_key(key).cast("long")
+    def place(self, n: str | Column) -> tuple[Column, Column]:
+        """Bucket and bit of a number (long)."""
+        n = F.col(n) if isinstance(n, str) else n
         return F.shiftright(n, self.exp), n.bitwiseAND(F.lit((1 << self.exp) - 1))
 
     def _reversed(self, bit: Column) -> Column:
@@ -91,16 +99,15 @@ class BitmapDedup:
         return F.substring(bitmap, F.lit(1), F.lit(1 << (self.exp - 3)))
 
     def add(self, df: DataFrame, key: str) -> BitmapDedup:
-        bucket, bit = self.place(key)
-        wide = F.rpad(F.col("bits"), 4096, F.lit(b"\0"))
-        new = df.select(bucket.alias("bucket"), self._reversed(bit).alias("b")).groupBy("bucket").agg(F.bitmap_construct_agg("b").alias("bits"))
-        both = self.state.select("bucket", wide.alias("bits")).unionByName(new)
+        bucket, bit = self.place("_n")
+        new = df.select(small_key(key).alias("_n")).select(bucket.alias("bucket"), self._reversed(bit).alias("b")).groupBy("bucket").agg(F.bitmap_construct_agg("b").alias("bits"))
+        both = self.state.select("bucket", "bits").unionByName(new.select("bucket", self._trimmed(F.col("bits")).alias("bits")))
         return BitmapDedup(both.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")).select("bucket", self._trimmed(F.col("bits")).alias("bits")), self.exp)
 
     def filter(self, df: DataFrame, key: str) -> DataFrame:
         """One row for each number whose bit isn't set, ascending."""
-        bucket, bit = self.place(key)
-        d = df.withColumn("_n", number_key(key)).withColumn("_bucket", bucket).withColumn("_bit", bit).dropDuplicates(["_n"])
+        bucket, bit = self.place("_n")
+        d = df.withColumn("_n", small_key(key)).dropDuplicates(["_n"]).withColumn("_bucket", bucket).withColumn("_bit", bit)
         d = d.join(self.state.withColumnRenamed("bucket", "_bucket").withColumnRenamed("bits", "_bits"), "_bucket", "left")
         byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
         is_set = F.getbit(byte, (7 - F.col("_bit").bitwiseAND(F.lit(7))).cast("int")) == 1

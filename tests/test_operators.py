@@ -51,6 +51,8 @@ def test_bitmap(spark):
     assert [r.k for r in s.filter(batch("2999", "2999", "3", "3000", "1"), "k").collect()] == ["3", "2999"]
     again = s.add(batch("1", "3000", "1023"), "k")
     assert {r.bucket: bytes(r.bits) for r in again.state.collect()} == state
+    more = {r.bucket: bytes(r.bits) for r in s.add(batch("2", "1016", "5000", "00000000000000000003"), "k").state.collect()}
+    assert (more[0][0], more[0][127], more[2], len(more[4])) == (0x70, 0x81, state[2], 128)
 
 
 def fold(spark, tasks, workers, n, compat="intended"):
