@@ -129,39 +129,91 @@ def _fold(n: int, compat: str, batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
 
-def nassign(tasks: DataFrame, workers: DataFrame, n: int = 3, compat: str = "intended") -> tuple[DataFrame, DataFrame]:
+SHARD = ["collection", "partition"]
+RANGE = 1 << 17  # tasks of a shard that are ranked in one sort, about
+
+
+def _tasks(tasks: DataFrame) -> DataFrame:
+    placed = F.col("placed") if "placed" in tasks.columns else F.lit(None)
+    return tasks.select("collection", F.col("partition").cast("int").alias("partition"), F.col("offset").cast("long").alias("offset"), F.col("item").cast("string").alias("item"), placed.cast("long").alias("placed"))
+
+
+def _workers(workers: DataFrame) -> DataFrame:
+    last = F.coalesce("last_offset", F.lit(-1)) if "last_offset" in workers.columns else F.lit(-1)
+    quota = F.col("quota") if "quota" in workers.columns else F.lit(None)
+    return workers.select("collection", F.col("partition").cast("int").alias("partition"), F.col("worker").cast("long").alias("worker"), quota.cast("long").alias("quota"), last.cast("long").alias("last"))
+
+
+def _extent(t: DataFrame) -> DataFrame:
+    """For each shard the number of its tasks, and its first and last offset."""
+    return t.groupBy(*SHARD).agg(F.count("*").alias("t"), F.count("offset").alias("known"), F.min("offset").alias("lo"), F.max("offset").alias("hi"), F.coalesce(F.max("placed"), F.lit(0)).alias("placed"))
+
+
+def _even(t: DataFrame, w: DataFrame, shards: DataFrame, n: int) -> DataFrame:
+    """The assignments of shards (collection, partition, w workers, t tasks, lo, hi), in each of which n divides w.
+
+    A task's place is its rank in a range of its shard's offsets plus the tasks of the ranges before, so a shard with
+    most tasks is sorted in as many parts as it has RANGE tasks. A log's offsets are dense; gaps make ranges uneven,
+    no more. An offset that occurs twice in a shard is an error, as in the fold.
+    """
+    d = t.join(shards.select(*SHARD, "w", "t", "lo", "hi"), SHARD)
+    d = d.withColumn("range", F.expr(f"(offset - lo) div ((hi - lo) div ((t + {RANGE - 1}) div {RANGE}) + 1)"))
+    before = d.groupBy(*SHARD, "range").agg(F.count("*").alias("c"))
+    before = before.select(*SHARD, "range", (F.sum("c").over(Window.partitionBy(*SHARD).orderBy("range")) - F.col("c")).alias("before"))
+    ranked = w.select(*SHARD, "worker", (F.row_number().over(Window.partitionBy(*SHARD).orderBy("worker")) - 1).alias("place"))
+    order = Window.partitionBy(*SHARD, "range").orderBy("offset")
+    d = d.withColumn("rank", F.row_number().over(order) - 1).withColumn("previous", F.lag("offset").over(order)).join(before, [*SHARD, "range"])
+    twice = F.raise_error(F.concat(F.lit("offsets must rise: "), F.col("offset").cast("string"), F.lit(" occurs twice")))
+    d = d.withColumn("s", F.when(F.col("offset") == F.col("previous"), twice.cast("long")).otherwise(F.col("before") + F.col("rank")))
+    d = d.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("place", ((F.col("s") * n + F.col("replica")) % F.col("w")).cast("int"))
+    return d.join(ranked, [*SHARD, "place"]).select(*SHARD, "worker", "offset", "item", "replica")
+
+
+def nassign(tasks: DataFrame, workers: DataFrame, n: int = 3, compat: str = "intended", closed: bool = True) -> tuple[DataFrame, DataFrame]:
     """Assignments (collection, partition, worker, offset, item, replica) and a status row for each shard
     (collection, partition, code, progress, assigns).
 
     tasks: collection, partition, offset, item, and placed, the replicas that an earlier fold placed of it, if known.
-    workers: collection, partition, worker, quota, and last_offset if known. The fold is sequential within a shard, as its definition is; shards run in parallel, each as a
-    stream of sorted rows, so memory holds a shard's workers and not its tasks.
+    workers: collection, partition, worker, quota, and last_offset if known.
+
+    Shards where n divides the number of workers, all workers stand at one offset below the tasks', the least quota
+    lasts and nothing is half placed go by the closed form of nassign_even(), which needs no fold; closed=False folds
+    them as well, with the same result, which is less work for a few tasks. The fold is sequential within a shard, as
+    its definition is; shards run in parallel, each as a stream of sorted rows, so memory holds a shard's workers and
+    not its tasks.
     """
     if compat not in ("intended", "as_written"):
         raise ValueError(compat)
-    last = F.coalesce("last_offset", F.lit(-1)) if "last_offset" in workers.columns else F.lit(-1)
-    w = workers.select("collection", "partition", F.lit(0).alias("kind"), last.cast("long").alias("offset"), F.lit(None).cast("string").alias("item"), F.col("worker").cast("long").alias("worker"), F.col("quota").cast("long").alias("quota"))
-    placed = F.col("placed") if "placed" in tasks.columns else F.lit(None)
-    t = tasks.select("collection", "partition", F.lit(1).alias("kind"), F.col("offset").cast("long"), F.col("item").cast("string"), placed.cast("long").alias("worker"), F.lit(None).cast("long").alias("quota"))
-    both = w.unionByName(t).withColumn("partition", F.col("partition").cast("int"))
+    t, w = _tasks(tasks), _workers(workers)
+    if not closed:
+        return _folded(t, w, n, compat)
+    each = w.groupBy(*SHARD, "worker").agg(F.count("*").alias("c"), F.min(F.coalesce("quota", F.lit(0))).alias("quota"), F.min("last").alias("last"))
+    able = each.groupBy(*SHARD).agg(F.count("*").alias("w"), F.count("worker").alias("named"), F.max("c").alias("c"), F.min("quota").alias("quota"), F.min("last").alias("low"), F.max("last").alias("high"))
+    able = _extent(t).join(able, SHARD).where(f"known = t and placed <= 0 and named = w and c = 1 and w % {n} = 0 and low = high and high < lo and lo >= 0 and quota > 0 and (t * {n} + w - 1) div w <= quota")
+    key = able.select(*SHARD)
+    found, status = _folded(t.join(key, SHARD, "left_anti"), w.join(key, SHARD, "left_anti"), n, compat)
+    done = able.select(*SHARD, F.lit(OK).alias("code"), F.col("hi").alias("progress"), (F.col("t") * n).alias("assigns"))
+    return found.unionByName(_even(t, w, able, n)), status.unionByName(done)
+
+
+def _folded(tasks: DataFrame, workers: DataFrame, n: int, compat: str) -> tuple[DataFrame, DataFrame]:
+    w = workers.select(*SHARD, F.lit(0).alias("kind"), F.col("last").alias("offset"), F.lit(None).cast("string").alias("item"), "worker", "quota")
+    t = tasks.select(*SHARD, F.lit(1).alias("kind"), "offset", "item", F.col("placed").alias("worker"), F.lit(None).cast("long").alias("quota"))
     schema = "collection string, partition int, worker long, offset long, item string, replica int, code string, progress long, assigns long"
-    out = both.repartition("collection", "partition").sortWithinPartitions("collection", "partition", "kind", "offset").mapInArrow(partial(_fold, n, compat), schema)
-    return out.where("code is null").drop("code", "progress", "assigns"), out.where("code is not null").select("collection", "partition", "code", "progress", "assigns")
+    out = w.unionByName(t).repartition(*SHARD).sortWithinPartitions(*SHARD, "kind", "offset").mapInArrow(partial(_fold, n, compat), schema)
+    return out.where("code is null").drop("code", "progress", "assigns"), out.where("code is not null").select(*SHARD, "code", "progress", "assigns")
 
 
 def nassign_even(tasks: DataFrame, workers: DataFrame, n: int) -> DataFrame:
     """The same assignments where n divides the number of a shard's workers and quotas don't run out: replica r
     of the task at place s goes to worker (s * n + r) modulo their number. No fold and no Python.
 
-    A shard with another number of workers raises an error. Ranks are windows by shard.
+    A shard with another number of workers raises an error.
     """
-    shard = ["collection", "partition"]
-    ranked = workers.select(*shard, "worker").withColumn("place", F.row_number().over(Window.partitionBy(*shard).orderBy("worker")) - 1)
-    count = workers.groupBy(*shard).agg(F.count("*").alias("w"))
-    t = tasks.withColumn("s", F.row_number().over(Window.partitionBy(*shard).orderBy("offset")) - 1).join(count, shard)
-    t = t.withColumn("w", F.when(F.col("w") % n == 0, F.col("w")).otherwise(F.raise_error(F.lit(f"{n} must divide a shard's workers"))))
-    t = t.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("place", (F.col("s") * n + F.col("replica")) % F.col("w"))
-    return t.join(ranked, [*shard, "place"]).select(*shard, "worker", "offset", "item", "replica")
+    t, w = _tasks(tasks), _workers(workers)
+    count = w.groupBy(*SHARD).agg(F.count("*").alias("w"))
+    wrong = F.raise_error(F.lit(f"{n} must divide a shard's workers")).cast("long")
+    return _even(t, w, _extent(t).join(count.withColumn("w", F.when(F.col("w") % n == 0, F.col("w")).otherwise(wrong)), SHARD), n)
 
 
 def progress(assignments: DataFrame, n: int) -> DataFrame:

@@ -73,7 +73,7 @@ class Shard:
         ahead = tasks.join(F.broadcast(before), F.col("offset") > F.coalesce("_before", F.lit(-1))).drop("_before")
         ahead = ahead.orderBy("offset").limit(self.config.assign_batch).join(self.placed, "offset", "left")
         n = self.config.task_assignments
-        found, status = nassign.nassign(ahead.select(*shard, "*"), self.workers().select(*shard, "*"), n)
+        found, status = nassign.nassign(ahead.select(*shard, "*"), self.workers().select(*shard, "*"), n, closed=False)
         rows = found.select("worker", "offset", "item", F.lit(now + int(self.config.task_timeout.total_seconds())).cast("long").alias("exp_time"), F.lit(False).alias("delivered"))
         last = self.last.unionByName(found.select("worker", F.col("offset").alias("last_offset"))).groupBy("worker").agg(F.max("last_offset").alias("last_offset"))
         counts = self.placed.unionByName(found.groupBy("offset").agg(F.count("*").alias("placed"))).groupBy("offset").agg(F.sum("placed").alias("placed"))

@@ -119,6 +119,34 @@ def test_fold_against_a_plain_one(spark):
             assert status[0][1:] == (progress, len(want))
 
 
+def test_closed_form_against_the_fold(spark, monkeypatch):
+    """Shards of every kind at once: those that the closed form takes, and those that lack one of its conditions."""
+    monkeypatch.setattr(nassign, "RANGE", 8)
+    rng = random.Random(9)
+    tasks, workers = [], []
+    for shard in range(24):
+        n_workers, quota, last = rng.choice([2, 3, 4, 6, 0]), rng.choice([3, 40, 1 << 40]), rng.choice([-1, -1, 7])
+        offsets = sorted(rng.sample(range(rng.choice([0, 8]), 400), rng.choice([0, 1, 30, 60])))
+        tasks += [("c", shard, o, str(o), 1 if shard == 3 and o == offsets[0] else None) for o in offsets]
+        workers += [("c", shard, w, quota, last + (shard % 5 == 0 and w == 1)) for w in rng.sample(range(50), n_workers)]
+    tasks += [(None, 0, 5, "x", None), ("d", None, 5, "x", None)]
+    t = spark.createDataFrame(tasks, "collection string, partition int, offset long, item string, placed long")
+    w = spark.createDataFrame(workers, "collection string, partition int, worker long, quota long, last_offset long")
+    for n in (1, 2, 3):
+        plain, closed = nassign.nassign(t, w, n, closed=False), nassign.nassign(t, w, n)
+        for a, b in zip(plain, closed, strict=True):
+            assert a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        monkeypatch.setattr(nassign, "_folded", lambda t, w, n, compat, real=nassign._folded: real(t.limit(0), w.limit(0), n, compat))
+        closed = set()
+        for shard in range(24):
+            at, of = [x for x in tasks if x[:2] == ("c", shard)], [x for x in workers if x[1] == shard]
+            if at and of and not len(of) % n and len({x[4] for x in of}) == 1 and of[0][4] < at[0][2] and shard != 3 and -(-len(at) * n // len(of)) <= of[0][3]:
+                closed.add(shard)
+        assert closed and {r.partition for r in nassign.nassign(t, w, n)[1].collect()} == closed
+        monkeypatch.undo()
+        monkeypatch.setattr(nassign, "RANGE", 8)
+
+
 def test_falling_offsets(spark):
     t = spark.createDataFrame([("c", 0, 5, "a"), ("c", 0, 5, "b")], "collection string, partition int, offset long, item string")
     w = spark.createDataFrame([("c", 0, 1, 5)], "collection string, partition int, worker long, quota long")
