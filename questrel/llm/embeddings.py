@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, saved
+from .common import bounded_batches, components, drop, saved
 
 COSINE = 0.98
 TABLES, HASHES, ROUNDS, SEED = 8, 2, 3, 2024  # a code joins HASHES cross-polytope hashes, each after ROUNDS rotations
@@ -178,7 +178,8 @@ def link(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     distinct vector is stored in a bucket of each table and probes another; the pairs of a bucket are
     verified by matrix products in blocks, buckets over BLOCK rows as pairs of blocks over many tasks.
     Links are counted where they are found, each in the first bucket that holds the pair; what leaves a
-    block is a count and a link to the smallest of its component for each vector, never all pairs.
+    block is a count and a link to the smallest of its component for each vector, never all pairs. Of the tables
+    on the way only the numbers for each different vector, without the vectors, outlast the call.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -206,6 +207,8 @@ def link(vectors: DataFrame, least: float = COSINE) -> DataFrame:
     joined = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     info = reps.drop("v", "label").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
     info = info.select("k0", "k1", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    info = saved(info, "linked")
+    drop(reps, hashed, found)
     out = d.select("vec_id", "good", *key).join(info.withColumn("good", F.lit(True)), ["good", "k0", "k1"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
