@@ -304,22 +304,27 @@ def dedup_bytes(docs: DataFrame) -> DataFrame:
     rows = saved(d.where(F.octet_length("text") >= LENGTH).select("did", "th", "text").mapInArrow(_emit, "did long, th long, h long, pd long, s int, n int"), "runs")
     twice = saved(rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "twice")
     rows2 = saved(rows.join(twice, "h"), "runs")
-    drop(rows)
+    drop(rows, twice)
     kinds = saved(rows2.groupBy("h", "pd").agg(F.count("*").alias("c"), F.min(F.struct("did", "th", "s", "n")).alias("at")), "kinds")
     several = saved(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     meet = saved(kinds.join(several, "h"), "meet")
     wanted = meet.groupBy(F.col("at.did").alias("did"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("h", "pd", F.col("at.s").alias("s"), F.col("at.n").alias("n"))).alias("wanted"))
     pieces = d.select("did", "th", "text").join(wanted, ["did", "th"]).select("text", "wanted").mapInArrow(_pieces, "h long, pd long, data binary")
     pieces = saved(pieces.join(several, "h"), "pieces")
+    drop(meet, several)
     solved = pieces.where(F.col("kinds") <= LARGE).select("h", "pd", "data").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve, "h long, pd long, found array<struct<o:int,n:int>>")
     solved = saved(solved, "solved")
     large = pieces.where(F.col("kinds") > LARGE)
     if not large.isEmpty() and (more := _halved(large)) is not None:
-        solved = saved(solved.unionByName(more), "solved")
+        first, solved = solved, saved(solved.unionByName(more), "solved")
+        drop(first)
+    drop(pieces)
     every = F.array(F.struct(F.lit(0).alias("o"), (F.col("n")).alias("n")))
-    full = saved(kinds.where("c > 1").select("h", "pd"), "full").withColumn("found", F.lit(None).cast("array<struct<o:int,n:int>>"))
-    marks = full.unionByName(solved.join(full.select("h", "pd"), ["h", "pd"], "left_anti"))
-    hits = rows2.join(saved(marks, "marks"), ["h", "pd"]).select("did", "th", "s", F.explode(F.coalesce("found", every)).alias("f"))
+    full = saved(kinds.where("c > 1").select("h", "pd"), "full")
+    marks = full.withColumn("found", F.lit(None).cast("array<struct<o:int,n:int>>")).unionByName(solved.join(full, ["h", "pd"], "left_anti"))
+    marks = saved(marks, "marks")
+    drop(kinds, solved, full)
+    hits = rows2.join(marks, ["h", "pd"]).select("did", "th", "s", F.explode(F.coalesce("found", every)).alias("f"))
     hits = hits.groupBy("did", "th").agg(F.collect_set(F.struct((F.col("s") + F.col("f.o")).alias("s"), F.col("f.n").alias("n"))).alias("hits"))
     out = d.join(hits, ["did", "th"], "left").select("doc_id", "text", "hits")
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
